@@ -70,6 +70,38 @@ def drop_written(df: DataFrame) -> None:
     delete(df.sparkSession, df.ionforge_path)
 
 
+#: Keys are summed up in this many buckets; their numbers are the most that is broadcast.
+KEY_BUCKETS = 1 << 20
+
+
+def _bucketed(keys: DataFrame, cols: list[str]) -> DataFrame:
+    return F.broadcast(keys.select(F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)).alias("__bucket")).distinct())
+
+
+def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``cols`` are in ``keys``.
+
+    Only rows whose key falls in a bucket of some key are shuffled; the buckets'
+    numbers, at most KEY_BUCKETS of them, are broadcast.
+    """
+    some = df.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS))).join(_bucketed(keys, cols), "__bucket", "left_semi").drop("__bucket")
+    return some.join(keys.select(*cols).distinct(), cols, "left_semi")
+
+
+def rows_without_keys(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``cols`` are not in ``keys``; a null is a value like others."""
+    marked = df.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)))
+    buckets = _bucketed(keys, cols)
+    clear = marked.join(buckets, "__bucket", "left_anti").drop("__bucket")
+    gone = keys.select(*(F.col(c).alias(f"__gone_{c}") for c in cols)).distinct()
+    same = None
+    for c in cols:
+        eq = F.col(c).eqNullSafe(F.col(f"__gone_{c}"))
+        same = eq if same is None else same & eq
+    rest = marked.join(buckets, "__bucket", "left_semi").drop("__bucket").join(gone, same, "left_anti")
+    return clear.unionByName(rest)
+
+
 def with_workers(spark: SparkSession) -> None:
     """Let Python workers find this package, and bound the rows of a batch."""
     root = str(Path(__file__).resolve().parents[2])

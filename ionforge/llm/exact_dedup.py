@@ -5,7 +5,8 @@ one space; null counts as empty.  Copies are combined in three steps, each of
 which groups by the digest *and* the full text: within each task (partial
 aggregation), within each salt of a digest, and over the salts' winners.  So
 no task gets more than one row per earlier task for any text, however often
-that text occurs.
+that text occurs.  Only texts whose digest occurs more than once are moved at
+all.
 
 Defined results: one row out for each row in, repeated rows included.  The
 smallest id of a group stays; a null id stays only where the group has no other
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, rows_with_keys, rows_without_keys, written
 
 #: Salts of a digest; they bound what one task of the second step receives.
 SALTS = 16
@@ -36,8 +37,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     two different texts ever share a label, the query fails rather than merge
     them.
     """
-    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
-    rows = rows.select("id", "t", F.sha2("t", 256).alias("digest"))
+    text = normalised(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("t"))
+    labelled = written(
+        rows.select("id", F.sha2("t", 256).alias("digest"), F.xxhash64("t").alias("second"), F.octet_length("t").alias("size")),
+        "exact-labels",
+    )
+    repeated = written(labelled.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "exact-repeated")
+    rows = rows_with_keys(rows.select("id", "t", F.sha2("t", 256).alias("digest")), repeated, ["digest"])
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .groupBy("digest", "salt", "t")
@@ -53,7 +60,6 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clash = groups.groupBy("digest", "second", "size").count().filter("count > 1").limit(1).count()
     if clash:
         raise ValueError("different texts share a label")
-    labelled = rows.select("id", "digest", F.xxhash64("t").alias("second"), F.octet_length("t").alias("size"))
     found = labelled.join(groups, ["digest", "second", "size"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
@@ -67,6 +73,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay."""
-    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    same = df[id_col].eqNullSafe(gone["__id"]) & (F.sha2(normalised(df[text_col]), 256) == gone["__digest"])
-    return df.join(gone, same, "left_anti")
+    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col), F.col("text_sha256").alias("__digest"))
+    gone = written(gone, "exact-gone")
+    marked = df.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
+    return rows_without_keys(marked, gone, [id_col, "__digest"]).drop("__digest")

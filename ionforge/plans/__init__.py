@@ -1,0 +1 @@
+"""Configuration, the whole search, and the registered queries."""

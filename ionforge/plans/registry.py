@@ -1,11 +1,446 @@
-"""All registered queries of the search engine and their SQL."""
+"""All registered queries of the search engine.
+
+Each runs over its whole tables.  The equivalent SQL is in ``oracle``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import buckets, chemistry, encode, peaks
+from ..operators import digest, embed, fdr, knn, match, report
+from . import bridge, pipeline
+from .config import SearchConfig
+from .oracle import sql as _sql
+
+K = 10
+OPEN_BUCKETS = 12
+WIDE = 2.0
+_all: dict = {}
+
+
+def query(f):
+    _all[f.__name__] = f
+    return f
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _peptides(spark, d, **how) -> DataFrame:
+    return digest.digest(bridge.proteins(spark, d), **({"missed": 0} | how))
+
+
+def _decoys(spark, d) -> DataFrame:
+    return digest.digest(digest.reverse_proteins(bridge.proteins(spark, d)), missed=0)
+
+
+# ------------------------------------------------------------------- digestion
+
+
+@query
+def digest_peptides(spark: SparkSession, d: str) -> DataFrame:
+    return _peptides(spark, d)
+
+
+@query
+def digest_missed_cleavage(spark: SparkSession, d: str) -> DataFrame:
+    return _peptides(spark, d, missed=2).groupBy("accession").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("peptide")).alias("residues"), F.min("peptide").alias("first"), F.max("peptide").alias("last"))
+
+
+@query
+def digest_semi(spark: SparkSession, d: str) -> DataFrame:
+    p = _peptides(spark, d, missed=0, min_length=8, max_length=15, semi=True)
+    return p.groupBy("accession").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("peptide")).alias("residues"), F.min("peptide").alias("first"), F.max("peptide").alias("last"))
+
+
+@query
+def peptide_protein_map(spark: SparkSession, d: str) -> DataFrame:
+    m = digest.protein_map(_peptides(spark, d))
+    return m.select("peptide", F.size("accessions").cast("long").alias("n"), F.array_join("accessions", ",").alias("accessions"))
+
+
+@query
+def decoy_reverse(spark: SparkSession, d: str) -> DataFrame:
+    r = digest.reverse_proteins(bridge.proteins(spark, d))
+    return r.select("accession", F.length("sequence").cast("long").alias("n"), F.md5("sequence").alias("md5"))
+
+
+@query
+def decoy_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return digest.sanitise(_decoys(spark, d), _peptides(spark, d))
+
+
+@query
+def decoy_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return digest.shared(_decoys(spark, d), _peptides(spark, d))
+
+
+@query
+def target_decoy_union(spark: SparkSession, d: str) -> DataFrame:
+    return digest.search_database(_peptides(spark, d), _decoys(spark, d))
+
+
+@query
+def database_sizes(spark: SparkSession, d: str) -> DataFrame:
+    t, r = _peptides(spark, d).select("peptide").distinct(), _decoys(spark, d).select("peptide").distinct()
+    both = t.withColumn("t", F.lit(1)).join(r.withColumn("r", F.lit(1)), "peptide", "full")
+    return both.agg(F.count("t").alias("n_target"), F.count("r").alias("n_decoy"), F.count(F.col("t") + F.col("r")).alias("n_shared"), (F.count("r") - F.count(F.col("t") + F.col("r"))).alias("n_kept"))
+
+
+# --------------------------------------------------------- peptides and masses
+
+
+def _k(n: int):
+    """A number below ``n`` that both engines draw alike from a peptide."""
+    return F.conv(F.substring(F.md5("peptide"), 1, 8), 16, 10).cast("long") % n
+
+
+def _distinct(spark, d) -> DataFrame:
+    return _peptides(spark, d).select("peptide").distinct()
+
+
+@query
+def peptide_pad(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct(spark, d).select("peptide", encode.pad_peptide(F.col("peptide"), 42).alias("padded"))
+
+
+@query
+def peptide_encode(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct(spark, d).select("peptide", F.array_join(encode.residue_ids(encode.pad_peptide(F.col("peptide"), 42)), ",").alias("ids"))
+
+
+@query
+def peptide_mass(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct(spark, d).select("peptide", _r(chemistry.peptide_mass(F.col("peptide"))).alias("mass"))
+
+
+@query
+def mass_range_filter(spark: SparkSession, d: str) -> DataFrame:
+    return peptide_mass(spark, d).filter("mass between 500 and 5000")
+
+
+@query
+def precursor_mass(spark: SparkSession, d: str) -> DataFrame:
+    s = bridge.spectra(spark, d)
+    return s.select("spec_id", "charge", _r(chemistry.precursor_mass(F.col("precursor_mz"), F.col("charge"))).alias("pepmass"))
+
+
+@query
+def spectrum_filter(spark: SparkSession, d: str) -> DataFrame:
+    return precursor_mass(spark, d).filter("charge between 2 and 5 and pepmass between 500 and 5000")
+
+
+@query
+def delta_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Each spectrum against the peptide whose rank by name equals its id."""
+    m = _distinct(spark, d).select("peptide", chemistry.peptide_mass(F.col("peptide")).alias("mass"), _k(997).alias("k"))
+    one = m.groupBy("k").agg(F.min(F.struct("peptide", "mass")).alias("x")).select("k", "x.*")
+    s = bridge.spectra(spark, d).withColumn("k", F.col("spec_id") % 997)
+    return s.join(one, "k").select("spec_id", "peptide", _r(chemistry.delta_mass(chemistry.precursor_mass(F.col("precursor_mz"), F.col("charge")), F.col("mass")), 5).alias("delta_mass"))
+
+
+# ---------------------------------------------------------------------- peaks
+
+
+def _normalised(spark, d, method) -> DataFrame:
+    p = bridge.peak_lists(spark, d)
+    v = peaks.normalise(F.transform("peaks", lambda x: x.intensity), method)
+    e = p.select("spec_id", F.posexplode(peaks.zip_peaks(F.transform("peaks", lambda x: x.mz), v)).alias("pos", "p"))
+    return e.select("spec_id", "pos", _r(F.col("p.mz")).alias("mz"), _r(F.col("p.intensity")).alias("intensity"))
+
+
+for _m in peaks.METHODS:
+    _all[f"normalize_{_m.lower()}"] = lambda spark, d, m=_m: _normalised(spark, d, m)
+
+
+@query
+def trim_peaks(spark: SparkSession, d: str) -> DataFrame:
+    p = bridge.peak_lists(spark, d)
+    e = p.select("spec_id", F.posexplode(peaks.trim(F.col("peaks"), 10)).alias("pos", "p"))
+    return e.select("spec_id", "pos", _r(F.col("p.mz")).alias("mz"), F.col("p.intensity").alias("intensity"))
+
+
+# -------------------------------------------------------------------- buckets
+
+
+@query
+def mass_buckets_uniform(spark: SparkSession, d: str) -> DataFrame:
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    return v.select("id", b.ordinal(F.col("mass")).cast("long").alias("bucket"))
+
+
+@query
+def mass_buckets_quantile(spark: SparkSession, d: str) -> DataFrame:
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_quantile(v, "mass", OPEN_BUCKETS)
+    return v.select("id", b.ordinal(F.col("mass")).cast("long").alias("bucket"))
+
+
+@query
+def bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return mass_buckets_uniform(spark, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query
+def bucket_window(spark: SparkSession, d: str) -> DataFrame:
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    low, high = b.window(F.col("mass"), 500.0)
+    low_edge, high_edge = b.window_edges(F.col("mass"), 500.0)
+    return v.select("id", low.cast("long").alias("low"), high.cast("long").alias("high"), _r(low_edge).alias("low_edge"), _r(high_edge).alias("high_edge"))
+
+
+@query
+def bucket_hamming(spark: SparkSession, d: str) -> DataFrame:
+    n = mass_buckets_uniform(spark, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    a, b = n.select(F.col("bucket").alias("a")), n.select(F.col("bucket").alias("b"))
+    # at most 256 buckets on either side
+    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", buckets.hamming(F.col("a"), F.col("b")).cast("long").alias("distance"))
+
+
+@query
+def search_space(spark: SparkSession, d: str) -> DataFrame:
+    """For each bucket as the query's, the part of the database within its window."""
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    n = v.groupBy(b.ordinal(F.col("mass")).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    q = n.select(F.col("bucket").alias("q"))
+    w = q.join(F.broadcast(n), (F.col("bucket") >= F.col("q") - 1) & (F.col("bucket") <= F.col("q") + 1))
+    total = n.agg(F.sum("n").alias("total"))
+    return w.groupBy("q").agg(F.sum("n").alias("n")).join(F.broadcast(total)).select("q", "n", _r(F.col("n") / F.col("total")).alias("part"))
+
+
+# ------------------------------------------------------------------------ kNN
+
+
+def _sides(spark, d):
+    """Queries are the rows whose id is divisible by 20; the database is all rows."""
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    v = v.withColumn("bucket", b.ordinal(F.col("mass")))
+    return v.filter("id % 20 = 0"), v
+
+
+def _near(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("pos").cast("long").alias("pos"), "db_id", _r(F.col("distance")).alias("distance"), "is_decoy")
+
+
+@query
+def knn_narrow(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _sides(spark, d)
+    return _near(knn.knn(q, v, K, "narrow"))
+
+
+@query
+def knn_narrow_pruned(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _sides(spark, d)
+    return _near(knn.knn_narrow_pruned(q, v, K, radius=40.0))
+
+
+@query
+def knn_open(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _sides(spark, d)
+    return _near(knn.knn(q, v, K, "open"))
+
+
+@query
+def knn_unsquared(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _sides(spark, d)
+    return _near(knn.knn(q, v, K, "open", squared=False))
+
+
+def _hybrid(spark, d) -> DataFrame:
+    q, v = _sides(spark, d)
+    return knn.hybrid(knn.knn(q, v, K, "narrow"), knn.knn(q, v, K, "open"), K)
+
+
+@query
+def knn_union(spark: SparkSession, d: str) -> DataFrame:
+    return _near(_hybrid(spark, d))
+
+
+@query
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: hybrid search, the best candidate of each query, and its q-value."""
+    c = _hybrid(spark, d).withColumn("score", -_r(F.col("distance"), 6))
+    best = match.best_per_spectrum(c, by="query_id").select("query_id", "db_id", _r(-F.col("score")).alias("score"), "is_decoy")
+    return fdr.with_q(best).select("query_id", "db_id", "score", "is_decoy", _r(F.col("q")).alias("q"))
+
+
+# ------------------------------------------------------------- ions and scores
+
+
+@query
+def fragment_ions(spark: SparkSession, d: str) -> DataFrame:
+    p = _distinct(spark, d).withColumn("charge", (2 + _k(2)).cast("int"))
+    i = p.withColumn("ions", chemistry.fragment_ions(F.col("peptide"), F.col("charge")))
+    total = F.aggregate("ions", F.lit(0.0), lambda a, x: a + x)
+    return i.select("peptide", F.col("charge").cast("long").alias("charge"), F.size("ions").cast("long").alias("n"), _r(F.element_at("ions", 1), 4).alias("least"), _r(F.element_at("ions", -1), 4).alias("most"), _r(total, 2).alias("total"))
+
+
+def _candidates(spark, d) -> DataFrame:
+    """Ten candidates for each part, drawn from the distinct peptides by their hash."""
+    p = _distinct(spark, d).select("peptide", _k(200).alias("k"))
+    few = p.groupBy("k").agg(F.min("peptide").alias("peptide"))
+    s = bridge.table(spark, d, "part").select(F.col("p_partkey").alias("spec_id"), (2 + F.col("p_partkey") % 2).cast("int").alias("charge"))
+    s = s.withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("k", (F.col("spec_id") * 7 + F.col("pos") * 13) % 200)
+    return s.join(few, "k").select("spec_id", "charge", "pos", "peptide")
+
+
+@query
+def ions_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("peptide", F.col("charge").cast("long").alias("charge")).distinct()
+
+
+def _scored(spark, d) -> DataFrame:
+    spectra = bridge.peak_lists(spark, d).withColumn("charge", (2 + F.col("spec_id") % 2).cast("int"))
+    return match.score_candidates(spectra, _candidates(spark, d).drop("charge"), tolerance=WIDE, n_peaks=100)
+
+
+@query
+def match_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("spec_id", F.col("pos").cast("long").alias("pos"), "peptide", F.col("n_matched").cast("long").alias("n_matched"), _r(F.col("score"), 4).alias("score"))
+
+
+@query
+def best_per_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).withColumn("score", _r(F.col("score"), 4))
+    return match.best_per_spectrum(s).select("spec_id", F.col("pos").cast("long").alias("pos"), "peptide", "score")
+
+
+@query
+def peak_match(spark: SparkSession, d: str) -> DataFrame:
+    """Matched peaks per spectrum as a band join of peak rows with ion rows."""
+    c = _candidates(spark, d).filter("pos = 1")
+    ions = c.select("spec_id", F.explode(chemistry.fragment_ions(F.col("peptide"), F.col("charge"))).alias("ion"))
+    hit = match.band_matches(bridge.peak_rows(spark, d), ions, WIDE, ["spec_id"])
+    return hit.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity"))
+
+
+# ------------------------------------------------------------------ FDR, reports
+
+
+def _psms(spark, d) -> DataFrame:
+    return fdr.within_delta(bridge.psms(spark, d))
+
+
+@query
+def score_transform(spark: SparkSession, d: str) -> DataFrame:
+    v = bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("psm_id"), (F.floor(F.col("o_totalprice") / 1000).cast("long") % 12 - 2).cast("double").alias("raw"))
+    t = fdr.transform_score(F.col("raw"))
+    return v.select("psm_id", "raw", F.when(F.isnan(t), "nan").when(t == float("inf"), "inf").otherwise("number").alias("kind"), F.when(~F.isnan(t) & (t != float("inf")), _r(t)).alias("score"))
+
+
+@query
+def fdr_qvalues(spark: SparkSession, d: str) -> DataFrame:
+    return fdr.q_values(_psms(spark, d)).select("score", "n_target", "n_decoy", _r(F.col("q")).alias("q"))
+
+
+@query
+def fdr_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fdr.filter_fdr(_psms(spark, d)).select("psm_id", "score", _r(F.col("q")).alias("q"))
+
+
+@query
+def identified_peptides(spark: SparkSession, d: str) -> DataFrame:
+    kept = fdr.filter_fdr(_psms(spark, d))
+    return kept.agg(F.countDistinct("score").alias("n_scores"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def accession_join(spark: SparkSession, d: str) -> DataFrame:
+    t = _peptides(spark, d)
+    best = _candidates(spark, d).filter("pos = 1").select("spec_id", F.col("peptide").alias("best_peptide"))
+    a = fdr.with_accessions(best, digest.protein_map(t))
+    return a.select("spec_id", "best_peptide", F.array_join("accession", ",").alias("accessions"))
+
+
+def _results(spark, d) -> DataFrame:
+    o = bridge.table(spark, d, "orders")
+    return o.select(
+        F.concat(F.lit("raw"), (F.col("o_custkey") % 3).cast("string")).alias("raw_file"),
+        (F.col("o_orderkey") * 2).cast("int").alias("scan"),
+        F.col("o_orderkey").cast("int").alias("index"),
+        _r(F.col("o_totalprice") / 100).alias("precursorMZ"),
+        _r(F.col("o_totalprice") / 50).alias("pepmass"),
+        (2 + F.col("o_orderkey") % 4).cast("int").alias("charge"),
+        (F.col("o_custkey") % 7 == 0).alias("best_is_decoy"),
+        _r(F.col("o_totalprice") / 1e6).alias("best_distance"),
+        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("best_score"),
+        F.concat(F.lit("PEPTIDE"), F.repeat(F.lit("K"), (F.col("o_custkey") % 5).cast("int"))).alias("best_peptide"),
+        _r(F.col("o_totalprice") / 50 + 1).alias("peptide_mass"),
+        F.lit(-1.0).alias("delta_mass"),
+        F.concat(F.lit("P"), (F.col("o_custkey") % 11).cast("string")).alias("accession"),
+    )
+
+
+@query
+def pin_export(spark: SparkSession, d: str) -> DataFrame:
+    return report.pin(_results(spark, d))
+
+
+@query
+def charge_onehot(spark: SparkSession, d: str) -> DataFrame:
+    return report.charge_columns(_results(spark, d)).select("index", *(f"charge{z}" for z in report.CHARGES))
+
+
+@query
+def inspect_view(spark: SparkSession, d: str) -> DataFrame:
+    return report.inspect(_results(spark, d))
+
+
+@query
+def delta_mass_profile(spark: SparkSession, d: str) -> DataFrame:
+    p = report.delta_profile(bridge.psms(spark, d), bins=1000)
+    return p.select(F.col("bin").cast("long").alias("bin"), _r(F.col("center"), 5).alias("center"), "n")
+
+
+@query
+def top_delta_bins(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_bins(delta_mass_profile(spark, d))
+
+
+# --------------------------------------------------------------------- pipeline
+
+
+@query
+def embed_peptides(spark: SparkSession, d: str) -> DataFrame:
+    e = embed.HashEmbedder().peptides(_distinct(spark, d))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("peptide", F.size("embedding").alias("width"), _r(norm, 4).alias("norm"))
+
+
+@query
+def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic spectra of the benchmark's peptides, one in three shifted, searched end to end."""
+    config = SearchConfig(k=10, max_missed_cleavages=0)
+    proteins = bridge.table(spark, d, "benchmark").select(F.concat(F.lit("ITEM_"), F.col("item_id").cast("string")).alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+    db, protein_map = pipeline.build_database(proteins, config)
+    db = db.persist()
+    source = db.filter("not is_decoy and mass between 500 and 4000")
+    shift = F.when(F.pmod(F.crc32("peptide"), F.lit(3)) == 0, F.lit(15.9949)).otherwise(F.lit(0.0))
+    ions = chemistry.fragment_ions(F.col("peptide"), F.lit(2))
+    made = source.select(
+        F.lit("synthetic").alias("raw_file"),
+        F.pmod(F.crc32("peptide"), F.lit(2**31 - 1)).cast("int").alias("index"),
+        F.pmod(F.crc32("peptide"), F.lit(2**31 - 1)).cast("int").alias("scan"),
+        ((F.col("mass") + shift) / 2 + 1.00782503207).alias("precursorMZ"),
+        F.lit(2).alias("charge"),
+        F.transform(ions, lambda m: F.struct(m.alias("mz"), F.lit(1.0).alias("intensity"))).alias("peaks"),
+        F.col("peptide").alias("truth"),
+    )
+    ready = pipeline.prepare_spectra(made, config).persist()
+    best = pipeline.rescore(ready, pipeline.search(ready, db, config), config)
+    return pipeline.accept(best, protein_map, config).select("index", "truth", "best_peptide", _r(F.col("best_score")).alias("best_score"), _r(F.col("delta_mass"), 4).alias("delta_mass"), _r(F.col("q")).alias("q"), F.array_join("accession", ",").alias("accession"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in _sql().items() if k in _all}

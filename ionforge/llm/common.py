@@ -52,6 +52,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this application wrote; call it after the last read."""
     delete(spark, shared_dir(spark))

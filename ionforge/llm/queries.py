@@ -70,14 +70,50 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_warc_dictionary, op6_ring_sharding, op7_exact_dedup, op8_toxicity, op9_pii_pseudonyms, op10_decontamination)}
 
 
-#: Words of a text in DuckDB: A-Z lower-cased, then runs of the bytes the contract names.
+#: A text in DuckDB with A-Z lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _licence_sql() -> str:
+    """Every template at every place of every text, tried one by one."""
+    parts = []
+    for t in license_scan.all_templates():
+        o, n = t.phrases[0][0], len(t.words)
+        listed = ", ".join(f"'{w}'" for w in t.words)
+        there = " and ".join(f"p + {k} >= 0 and w[p + {k} + 1 : p + {k} + {len(x)}] = [{', '.join(repr(y) for y in x)}]" for k, x in t.phrases)
+        places = f"list_filter(range({-o}, len(w)), lambda p: {there})"
+        cover = f"len(list_filter(range(0, {n}), lambda j: p + j >= 0 and coalesce(w[p + j + 1] = [{listed}][j + 1], false))) / {n}.0::double"
+        parts.append(f"select row, '{t.label}' as label, {str(t.base).lower()} as base, p + {o} as place, {cover} as cover from (select row, w, unnest({places}) as p from d where list_has_all(w, [{', '.join(repr(y) for _, x in t.phrases for y in x)}]))")
+    word = license_scan.WORD
+    return f"""
+        with d as (select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '{word}') as w from documents),
+             h as ({" union all ".join(parts)}),
+             g as (select row, count(*) filter (where base) as n_base, min(place) filter (where base) as first_word, max(place) filter (where base) as last_word,
+                          coalesce(string_agg(distinct label, ',' order by label) filter (where base), '') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from h group by row)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+        from d left join g using (row)"""
+
+
+_NEAR_SQL = f"""
+    with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '{_SPACE.replace('[', '[^')}') as w from documents),
+         s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))
+                                                   when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+         n as (select doc_id, count(*) as n from s group by doc_id),
+         c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+         l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+         r as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from r join l on l.a = r.other),
+         m as (select doc_id, min(other) as component_id from r group by doc_id)
+    select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+    from d join m using (doc_id) left join n using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express in full."""
     return {
+        "op3_license_scan": _licence_sql(),
+        "op4_minhash_near_dedup": _NEAR_SQL,
         "op7_exact_dedup": f"""
             with t as (select doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') as n from documents)
             select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, with_workers, written
+from .common import make_folder, new_path, with_workers, written
 
 ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
@@ -184,6 +184,7 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in flush()], ["file", "n", "size"])
 
+    make_folder(spark, path)  # also where there is nothing to write
     manifest = rows.mapInArrow(write, "file string, n long, size long")
     written(manifest, "warc-manifest")
     return path

@@ -7,17 +7,15 @@ writes as Parquet and reads back as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ionforge.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from ionforge.llm.common import written
+from ionforge.llm.common import rows_without_keys, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scored.filter("not accepted").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return rows_without_keys(docs, written(scored.filter("not accepted").select("doc_id"), "pipeline-rejected"), ["doc_id"])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
     groups = near_dedup.near_groups(docs, n=5, percent=80)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return rows_without_keys(docs, written(groups.filter("not kept").select("doc_id"), "pipeline-copies"), ["doc_id"])
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def test_score_transform(spark):
 def test_encode(spark):
     df = spark.createDataFrame([("PEPK",)], "p string")
     padded, ids = df.select(encode.pad_peptide(F.col("p"), 6), encode.residue_ids(encode.pad_peptide(F.col("p"), 6))).first()
-    assert padded == "PEPK__" and ids == [8, 3, 8, 14, 0, 0]
+    assert padded == "PEPK__" and ids == [8, 3, 8, 15, 0, 0]
     with pytest.raises(Exception, match="unknown residue"):
         df.select(encode.residue_ids(F.lit("PE?"))).collect()
 

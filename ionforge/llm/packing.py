@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SPACE, written
 
 LENGTHS = (1024, 2048, 4096)
 #: What opening a bin costs besides its tokens.
@@ -40,7 +40,7 @@ PART_ROWS = 50_000
 
 def word_count(text: Column) -> Column:
     """Words between white space; a plain stand-in where no tokenizer is given."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")).cast("long")
 
 
 def _pack(hist: dict[int, int], lengths: tuple[int, ...], bin_cost: int):

@@ -42,7 +42,7 @@ CLASSES = {
     "line": b"\n",
     "space": b" \t",
 }
-FEATURES = (*CLASSES, "log_words", "word_length", "same_lines", "same_runs", "odd_words")
+FEATURES = (*CLASSES, "log_words", "word_length", "same_lines", "same_runs", "odd_words", "same_next")
 _WORDS, _LINES = Words(SPACED), Words(byte_table("\n"))
 _BARE = Words(LETTERS)
 
@@ -66,6 +66,8 @@ def features(texts: pa.Array) -> np.ndarray:
         block[:, 9] = np.bincount(row, end - start, n) / np.maximum(words, 1) / 10
         block[:, 10] = _repeated(*_LINES.split(at, data)[::3], n)
         block[:, 11] = _repeated(*shingles(h, row, n, 4), n)
+        again = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+        block[:, 13] = np.bincount(row[1:][again], minlength=n) / np.maximum(words, 1)
         b = _BARE.split(at, data)
         # words that carry bytes other than letters and digits at more than one place
         bare = np.bincount(b[3], b[2] - b[1], n)

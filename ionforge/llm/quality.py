@@ -159,7 +159,7 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         marked = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
         marked = written(marked.withColumn("h", F.xxhash64("id")), "quality-labels")
         # the smallest hashes: first a share of the hashes that holds enough of them, then the exact bound
-        bound = -(2**63) + int(min(1.0, 1.5 * fit_rows / max(marked.count(), 1)) * (2**64 - 1))
+        bound = min(2**63 - 1, -(2**63) + int(min(1.0, 1.5 * fit_rows / max(marked.count(), 1)) * 2**64))
         few = marked.filter(F.col("h") <= bound).orderBy("h", "id").limit(fit_rows)
         known = feats.join(few, "id").select("x", "quality").collect()
         y = np.array([r["quality"] for r in known], float)

@@ -169,6 +169,13 @@ def sql() -> dict[str, str]:
             'X.' || best_peptide || '.X' as "Peptide", 'PROTEIN_0' as "Proteins" from r""",
         "charge_onehot": f"with {_RESULTS} select index, {', '.join(f'(charge = {z})::int as charge{z}' for z in (2, 3, 4, 5))} from r",
         "inspect_view": f"with {_RESULTS} select * from r",
+        "seeded_sample": f"with {_SPECTRA} select spec_id, charge, precursor_mz from s order by md5('42/' || spec_id), spec_id limit 20",
+        "accuracy": f"with {_RESULTS} select round(avg(case when best_peptide = 'PEPTIDEK' then 1 else 0 end), 6) as accuracy from r",
+        "vector_distances": f"""with {_VECTORS} select v.id, round(sqrt(list_sum(list_transform(v.e, lambda x: x * x)) + v.mass * v.mass), 4) as norm, round(list_distance(v.e, w.e), 5) as distance
+            from v join v w on w.id = v.id + 1""",
+        "space_union": f"""with {_BUCKETS}, w as (select unnest([1000.0, 1500.0]) as m), k as (select greatest(0, least(11, floor((m - 500.0 - lo) / w)::int)) as low, greatest(0, least(11, floor((m + 500.0 - lo) / w)::int)) as high from w, lim)
+            select distinct id, bucket::bigint as bucket from b, k where bucket between low and high""",
+        "score_argmax": f"{_T}, {_SCORED} select spec_id, max(score) as score, arg_max(pos, (score, pos))::bigint as pos from sc group by spec_id",
         "delta_mass_profile": f"with {_PSMS}, {_profile()} select * from h",
         "top_delta_bins": f"with {_PSMS}, {_profile()} select * from h order by n desc, bin desc limit 6",
     }

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import buckets, chemistry, encode, peaks
-from ..operators import digest, embed, fdr, knn, match, report
+from ..functions import buckets, chemistry, encode, peaks, vectors
+from ..operators import digest, embed, fdr, knn, match, report, sample
 from . import bridge, pipeline
 from .config import SearchConfig
 from .oracle import sql as _sql
@@ -404,6 +404,52 @@ def top_delta_bins(spark: SparkSession, d: str) -> DataFrame:
     return report.top_bins(delta_mass_profile(spark, d))
 
 
+# --------------------------------------------------- samples, vectors, accuracy
+
+
+@query
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: 20 spectra by seed."""
+    return sample.seeded(bridge.spectra(spark, d), 20, 42, "spec_id")
+
+
+@query
+def accuracy(spark: SparkSession, d: str) -> DataFrame:
+    r = _results(spark, d).withColumn("truth", F.lit("PEPTIDEK"))
+    return sample.accuracy(r, "truth", "best_peptide").select(_r(F.col("accuracy")).alias("accuracy"))
+
+
+@query
+def vector_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's length with its mass appended, and its distance to the next one."""
+    v = bridge.vectors(spark, d)
+    n = v.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("next"))
+    longer = vectors.append(F.transform("embedding", lambda x: x.cast("double")), F.col("mass"))
+    return v.join(n, "id").select("id", _r(vectors.norm(longer), 4).alias("norm"), _r(vectors.distance(F.col("embedding"), F.col("next")), 5).alias("distance"))
+
+
+@query
+def space_union(spark: SparkSession, d: str) -> DataFrame:
+    """Bucket by bucket, the rows within the windows of two masses, each once."""
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    v = v.select("id", b.ordinal(F.col("mass")).alias("bucket"))
+    spaces = [v.filter(F.col("bucket").between(*b.window(F.lit(m), 500.0))) for m in (1000.0, 1500.0)]
+    return spaces[0].unionByName(spaces[1]).distinct().select("id", F.col("bucket").cast("long").alias("bucket"))
+
+
+@query
+def score_argmax(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).withColumn("score", _r(F.col("score"), 4))
+    return s.groupBy("spec_id").agg(F.max("score").alias("score"), F.max_by("pos", F.struct("score", "pos")).cast("long").alias("pos"))
+
+
+@query
+def manifold_plane(spark: SparkSession, d: str) -> DataFrame:
+    p = sample.plane(bridge.vectors(spark, d))
+    return p.select("id", "is_decoy", _r(F.abs(F.col("projection")[0]), 4).alias("x"), _r(F.abs(F.col("projection")[1]), 4).alias("y"))
+
+
 # --------------------------------------------------------------------- pipeline
 
 

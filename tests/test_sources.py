@@ -127,3 +127,18 @@ def test_unknown_values_are_dropped(spark):
 @pytest.mark.parametrize("bad", [{"K": 5}, {"k": 5, "UNKNOWN": 1}])
 def test_mapping(bad):
     assert SearchConfig.from_mapping(bad).k == 5
+
+
+def test_usi(spark, tmp_path):
+    import json
+
+    from ionforge.sources import usi
+
+    for k, name in enumerate(["mzspec:PXD1:run:scan:7:PEPT[Oxidation]IDE/2", "mzspec:PXD1:run:scan:8:ACDK/3", "mzspec:PXD1:run:scan:9"]):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"usi": name, "mzs": [1.5, 2.5], "intensities": [3, 4], "precursorMZ": 500.5}, indent=1))
+    got = {r.usi: r for r in usi.read_usi(spark, str(tmp_path)).collect()}
+    r = got["mzspec:PXD1:run:scan:7:PEPT[Oxidation]IDE/2"]
+    assert (r.peptide, r.modification, r.charge, r.precursorMZ) == ("PEPTIDE", "Oxidation", 2, 500.5)
+    assert [(p.mz, p.intensity) for p in r.peaks] == [(1.5, 3), (2.5, 4)]
+    assert got["mzspec:PXD1:run:scan:8:ACDK/3"].modification == "unmod."
+    assert got["mzspec:PXD1:run:scan:9"].charge is None

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -74,14 +75,18 @@ def all_templates() -> list[Template]:
     return [template(label, p, [p], True) for p, label in BASE.items()] + [template(k, t, ps) for k, (t, ps) in TEMPLATES.items()]
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, by cutting at what lies between them; that is several times faster than extracting."""
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
+
+
 def document_frequencies(df: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[dict[str, int], int]:
     """In how many of all documents each word of the vocabulary stands, and their number.
 
     At most one row for each word of the vocabulary, whose size is that of the
     templates, reaches the driver.
     """
-    words = F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(WORD), F.lit(0))
-    own = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
+    own = F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, vocabulary)))
     rows = df.select(F.explode(F.array_append(own, "")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     found = {r["w"]: r["n"] for r in rows}
     return {w: found.get(w, 0) for w in vocabulary}, found.get("", 0)
@@ -105,8 +110,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         j = min(range(len(phrase)), key=lambda j, phrase=phrase: (frequency[phrase[j]], phrase[j], j))
         postings.setdefault(phrase[j], []).append((k, offset + j))
     anchors = F.array(*(F.lit(w) for w in sorted(postings)))
-    words = F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(WORD), F.lit(0))
-    rows = df.select(F.col(id_col).alias("id"), words.alias("words"))
+    rows = df.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("id", "words", F.size("words").alias("n_words"), F.arrays_overlap("words", anchors).alias("any"))
     # occurrences of the anchors, each with its word
     looked = F.filter(

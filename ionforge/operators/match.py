@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import workers
 from ..functions import chemistry, peaks
 
 
@@ -23,16 +28,54 @@ def distinct_ions(candidates: DataFrame, limit: int = 200) -> DataFrame:
 def score_candidates(spectra: DataFrame, candidates: DataFrame, tolerance: float = 0.01, least: int = 4, n_peaks: int = 100) -> DataFrame:
     """(spec_id, pos, peptide, score, n_matched, ...) for ``spectra`` (spec_id, charge, peaks) and ``candidates`` (spec_id, pos, peptide, ...).
 
-    Peaks are trimmed and normalised once per spectrum before the join.
+    Peaks are trimmed and normalised once per spectrum, ions computed once per
+    (peptide, charge).  Matching looks each peak's place up among the sorted
+    ions, for a whole Arrow batch of candidates at once; no peak is compared
+    with all ions.
     """
+    workers.prepare(spectra.sparkSession)
     top = peaks.trim(F.col("peaks"), n_peaks)
     values = peaks.normalise(F.transform(top, lambda p: p.intensity))
     ready = spectra.select("spec_id", "charge", peaks.zip_peaks(F.transform(top, lambda p: p.mz), values).alias("peaks"))
     joined = candidates.join(ready, "spec_id")
     joined = joined.join(distinct_ions(joined), ["peptide", "charge"])
-    hit = peaks.matched(F.col("peaks"), F.col("ions"), tolerance)
-    scored = joined.withColumn("hit", hit).withColumn("score", peaks.match_score(F.col("hit"), least)).withColumn("n_matched", F.size("hit"))
-    return scored.drop("hit", "ions", "peaks")
+    names = [c for c in joined.columns if c not in ("peaks", "ions")]
+    ready = joined.select(*names, F.transform("peaks", lambda p: p.mz).alias("__mz"), F.transform("peaks", lambda p: p.intensity).alias("__i"), "ions")
+    schema = T.StructType([*(joined.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("n_matched", T.IntegerType())])
+
+    def run(batches):
+        for b in batches:
+            score, n = match_batch(b.column("__mz"), b.column("__i"), b.column("ions"), tolerance, least)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score), pa.array(n.astype(np.int32))], [*names, "score", "n_matched"])
+
+    return ready.mapInArrow(run, schema)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.repeat(np.arange(len(column)), size)
+
+
+def match_batch(mz: pa.Array, intensity: pa.Array, ions: pa.Array, tolerance: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of matched peaks of each row; ``ions`` ascend within a row."""
+    m, row = _flat(mz)
+    i, _ = _flat(intensity)
+    ion, ion_row = _flat(ions)
+    real = ion != 0
+    ion, ion_row = ion[real], ion_row[real]
+    # the first ion of the row that is not below the peak: by row, then by mass
+    width = 1 + max(np.abs(ion).max(initial=0), np.abs(m).max(initial=0))
+    at = np.searchsorted(ion + ion_row * width, m + row * width)
+    near = np.full(len(m), np.inf)
+    for k in (at - 2, at - 1, at, at + 1):  # one more on each side: the sums above are rounded
+        ok = (k >= 0) & (k < len(ion))
+        ok[ok] = ion_row[k[ok]] == row[ok]
+        near[ok] = np.minimum(near[ok], np.abs(m[ok] - ion[k[ok]]))
+    hit = (near < tolerance) & (m != 0)
+    n = np.bincount(row[hit], minlength=len(mz))
+    total = np.bincount(row[hit], i[hit], len(mz))
+    return np.where(n > least, n * total, -total) + 0.0, n
 
 
 def band_matches(peak_rows: DataFrame, ion_rows: DataFrame, tolerance: float, on: list[str]) -> DataFrame:

@@ -224,3 +224,23 @@ def test_embedder(spark):
 
 def test_water():
     assert constants.WATER == pytest.approx(18.0105646837)
+
+
+def test_batch_matching_equals_expressions(spark):
+    from ionforge.functions import peaks
+
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        ions = sorted(rng.choice([0.0, 100 + rng.random() * 3]) for _ in range(rng.randrange(0, 30)))
+        p = sorted((rng.choice([0.0, 100 + rng.random() * 3]), rng.random()) for _ in range(rng.randrange(0, 30)))
+        rows.append((k, p, ions))
+    df = spark.createDataFrame(rows, "k int, p array<struct<mz:double,intensity:double>>, ions array<double>")
+    hit = peaks.matched(F.col("p"), F.col("ions"), 0.05)
+    want = df.select("k", F.size(hit).alias("n"), peaks.match_score(hit, 4).alias("s")).orderBy("k").collect()
+    import pyarrow as pa
+
+    lists = [pa.array(x, pa.list_(pa.float64())) for x in ([[m for m, _ in r[1]] for r in rows], [[i for _, i in r[1]] for r in rows], [r[2] for r in rows])]
+    score, n = match.match_batch(*lists, 0.05, 4)
+    assert n.tolist() == [w.n for w in want]
+    assert score.tolist() == pytest.approx([w.s for w in want])

@@ -83,13 +83,18 @@ def _bucketed(keys: DataFrame, cols: list[str]) -> DataFrame:
     return F.broadcast(keys.select(F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)).alias("__bucket")).distinct())
 
 
-def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """The rows of ``df`` whose ``cols`` are in ``keys``.
 
     Only rows whose key falls in a bucket of some key are shuffled; the buckets'
-    numbers, at most KEY_BUCKETS of them, are broadcast.
+    numbers, at most KEY_BUCKETS of them, are broadcast.  With very many keys
+    all buckets have one, and all rows are shuffled by key.  Without ``exact``
+    rows of other keys in the same buckets may be among the result, and nothing
+    is shuffled.
     """
     some = df.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS))).join(_bucketed(keys, cols), "__bucket", "left_semi").drop("__bucket")
+    if not exact:
+        return some
     return some.join(keys.select(*cols).distinct(), cols, "left_semi")
 
 

@@ -44,7 +44,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "exact-labels",
     )
     repeated = written(labelled.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "exact-repeated")
-    rows = rows_with_keys(rows.select("id", "t", F.sha2("t", 256).alias("digest")), repeated, ["digest"])
+    rows = rows_with_keys(rows.select("id", "t", F.sha2("t", 256).alias("digest")), repeated, ["digest"], exact=False)
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .groupBy("digest", "salt", "t")

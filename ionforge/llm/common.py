@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Row limit of one Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
-#: Bytes of text that the kernel handles at once.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that the kernel handles at once; its arrays of them stay in the CPU's cache.
+CHUNK_BYTES = 1 << 18
 
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

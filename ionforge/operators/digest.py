@@ -35,6 +35,17 @@ def fragments(sequence: Column, enzyme: str = "trypsin") -> Column:
     return F.filter(F.split(sequence, enzyme_rule(enzyme)), lambda x: x != "")
 
 
+def _runs(f: Column, n: Column, k: int) -> Column:
+    """Each run of ``k`` + 1 pieces, joined."""
+    if k == 0:
+        return f
+    if k < 4:
+        joined = F.transform(F.sequence(F.lit(1), n - k), lambda i: F.concat(*(F.element_at(f, i + j) for j in range(k + 1))))
+    else:
+        joined = F.transform(F.sequence(F.lit(1), n - k), lambda i: F.array_join(F.slice(f, i, k + 1), ""))
+    return F.when(n > k, joined).otherwise(F.array().cast("array<string>"))
+
+
 def digest(
     proteins: DataFrame,
     enzyme: str = "trypsin",
@@ -51,12 +62,7 @@ def digest(
     """
     pieces = proteins.select("accession", fragments(F.col("sequence"), enzyme).alias("f"))
     n = F.size("f")
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(missed)),
-            lambda k: F.when(n > k, F.transform(F.sequence(F.lit(1), n - k), lambda i: F.array_join(F.slice(F.col("f"), i, k + 1), ""))).otherwise(F.array().cast("array<string>")),
-        )
-    )
+    runs = F.flatten(F.array(*(_runs(F.col("f"), n, k) for k in range(missed + 1))))
     peptides = pieces.select("accession", F.explode(F.array_distinct(runs)).alias("peptide"))
     if semi:
         top = F.least(F.lit(max_length), F.length("peptide"))

@@ -122,6 +122,12 @@ def with_workers(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, if the files make fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 # ------------------------------------------------------------------ the kernel
 
 

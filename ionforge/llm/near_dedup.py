@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, drop_written, mixed, rows_with_keys, shingles, with_workers, written
+from .common import SPACED, Words, drop_written, mixed, rows_with_keys, shingles, spread, with_workers, written
 from .graph import components
 
 BANDS, ROWS = 64, 5
@@ -237,7 +237,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     spark = df.sparkSession
     with_workers(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = written(_sketch(docs, n, bands, rows), "near-sketch")
+    sketch = written(_sketch(spread(docs), n, bands, rows), "near-sketch")
     full = sketch.filter("size > 0 and id is not null")
     classes = full.groupBy("f1", "f2").agg(F.min_by(F.struct("id", "bands"), "id").alias("x"), F.min("size").alias("size"))
     reps = written(classes.select(F.col("x.id").alias("id"), "size", F.col("x.bands").alias("bands")), "near-reps")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import spread, with_workers
 
 KINDS = ("email", "secret", "date", "ip", "card", "phone", "iban", "ssn")
 
@@ -226,4 +226,4 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
             cols = [pa.array(texts, b.column(n).type) if n == text_col else pa.array(found, span) if n == "pii_spans" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.drop("pii_spans").mapInArrow(run, schema)
+    return spread(df.drop("pii_spans")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, SPACED, Words, byte_table, shingles, with_workers, written
+from .common import LETTERS, SPACED, Words, byte_table, shingles, spread, with_workers, written
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
@@ -153,7 +153,7 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat], ["id", "host", "path", "x"])
 
     idt = docs.schema[id_col].dataType.simpleString()
-    feats = written(rows.mapInArrow(run, f"id {idt}, host string, path string, x array<double>"), "quality-features")
+    feats = written(spread(rows).mapInArrow(run, f"id {idt}, host string, path string, x array<double>"), "quality-features")
     model = None
     if labels is not None:
         marked = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))

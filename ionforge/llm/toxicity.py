@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Words, mixed, with_workers
+from .common import LETTERS, Words, mixed, spread, with_workers
 
 FIT_ROWS = 1200
 WINDOW = 32
@@ -385,4 +385,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     out = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, f"id {idt}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return spread(out).mapInArrow(run, f"id {idt}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -117,28 +117,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), F.struct(i.alias("at"), w.alias("w")))),
         lambda x: x.isNotNull(),
     )
-    nothing = F.expr("cast(array() as array<struct<at:int,w:string>>)")
-    rows = rows.withColumn("found", F.when(F.col("any"), looked).otherwise(nothing))
+    # a file without any anchor has nothing to look at: each step is behind that test
+    given = lambda x: F.when(F.col("any"), F.expr(x) if isinstance(x, str) else x)
+    rows = rows.withColumn("found", given(looked))
     # each posting of an occurrence's word gives a place of the template
     cases = " ".join(f"when '{w}' then array({', '.join(f'named_struct({_s(k, o)})' for k, o in ps)})" for w, ps in sorted(postings.items()))
-    rows = rows.withColumn("places", F.expr(f"flatten(transform(found, f -> transform(case f.w {cases} end, p -> named_struct('t', p.t, 'place', f.at - p.o))))"))
+    rows = rows.withColumn("places", given(f"flatten(transform(found, f -> transform(case f.w {cases} end, p -> named_struct('t', p.t, 'place', f.at - p.o))))"))
     verified = " ".join(f"when {k} then {' and '.join(_stands('words', f'(x.place + {o})', p) for o, p in t.phrases)}" for k, t in enumerate(templates))
-    rows = rows.withColumn("places", F.expr(f"filter(places, x -> case x.t {verified} else false end)"))
+    rows = rows.withColumn("places", given(f"filter(places, x -> case x.t {verified} else false end)"))
     cover = " ".join(f"when {k} then {_cover('words', t.words)}" for k, t in enumerate(templates))
     labels = ", ".join(f"'{t.label}'" for t in templates)
     starts = " ".join(f"when {k} then {t.phrases[0][0]}" for k, t in enumerate(templates))
     base = sum(t.base for t in templates)
-    rows = rows.withColumn("hits", F.expr(f"transform(places, x -> named_struct('label', array({labels})[x.t], 'base', x.t < {base}, 'place', cast(x.place + case x.t {starts} end as bigint), 'coverage', case x.t {cover} end))"))
+    rows = rows.withColumn("hits", given(f"transform(places, x -> named_struct('label', array({labels})[x.t], 'base', x.t < {base}, 'place', cast(x.place + case x.t {starts} end as bigint), 'coverage', case x.t {cover} end))"))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n_words").cast("long").alias("n_words"),
-        F.expr("cast(size(filter(hits, h -> h.base)) as bigint)").alias("n_base"),
-        F.expr("array_min(transform(filter(hits, h -> h.base), h -> h.place))").alias("first_word"),
-        F.expr("array_max(transform(filter(hits, h -> h.base), h -> h.place))").alias("last_word"),
-        F.expr("array_join(array_sort(array_distinct(transform(filter(hits, h -> h.base), h -> h.label))), ',')").alias("base_labels"),
-        F.expr("array_join(array_sort(array_distinct(transform(hits, h -> h.label))), ',')").alias("labels"),
-        F.expr("coalesce(array_max(transform(hits, h -> h.coverage)), 0D)").alias("score"),
-        "hits",
+        F.coalesce(given("cast(size(filter(hits, h -> h.base)) as bigint)"), F.lit(0).cast("long")).alias("n_base"),
+        given("array_min(transform(filter(hits, h -> h.base), h -> h.place))").alias("first_word"),
+        given("array_max(transform(filter(hits, h -> h.base), h -> h.place))").alias("last_word"),
+        F.coalesce(given("array_join(array_sort(array_distinct(transform(filter(hits, h -> h.base), h -> h.label))), ',')"), F.lit("")).alias("base_labels"),
+        F.coalesce(given("array_join(array_sort(array_distinct(transform(hits, h -> h.label))), ',')"), F.lit("")).alias("labels"),
+        F.coalesce(given("array_max(transform(hits, h -> h.coverage))"), F.lit(0.0)).alias("score"),
+        F.coalesce("hits", F.expr("cast(array() as array<struct<label:string,base:boolean,place:bigint,coverage:double>>)")).alias("hits"),
     )
 
 

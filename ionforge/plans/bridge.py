@@ -40,10 +40,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(psm_id, score, is_decoy, delta_mass)."""
+    """(psm_id, score, is_decoy, delta_mass); lower scores are better, and the better ones have fewer decoys."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("psm_id"),
-        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("score"),
+        (-F.floor(F.col("o_totalprice") / 1000).cast("long")).alias("score"),
         ((F.col("o_custkey") % 7 == 0) & (F.col("o_totalprice") < 250000)).alias("is_decoy"),
         (F.col("o_totalprice") % 900 - 200).alias("delta_mass"),
     )

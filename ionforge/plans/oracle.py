@@ -44,7 +44,7 @@ def _knn(kind: str, squared: bool = True, name: str = "n") -> str:
         {name} as (select query_id, row_number() over (partition by query_id order by dist, db_id) as pos, db_id, round(dist, 6) as distance, is_decoy from {name}_d qualify pos <= 10)"""
 
 
-_PSMS = """x as (select o_orderkey as psm_id, floor(o_totalprice / 1000)::bigint as score, (o_custkey % 7 = 0 and o_totalprice < 250000) as is_decoy, o_totalprice % 900 - 200 as delta_mass from orders),
+_PSMS = """x as (select o_orderkey as psm_id, -floor(o_totalprice / 1000)::bigint as score, (o_custkey % 7 = 0 and o_totalprice < 250000) as is_decoy, o_totalprice % 900 - 200 as delta_mass from orders),
     y as (select * from x where delta_mass > -150 and delta_mass < 500)"""
 
 
@@ -57,7 +57,7 @@ def _q(source: str) -> str:
 
 def _normal(d: str) -> str:
     return f"""with {_PEAKS}, d as (select spec_id, {d} as d from k group by spec_id)
-        select spec_id, pos::int as pos, round(mz, 6) as mz, round(intensity / d, 6) as intensity from k join d using (spec_id)"""
+        select spec_id, pos::int as pos, round(mz, 6) as mz, round(intensity / d, 9) as intensity from k join d using (spec_id)"""
 
 
 _RESULTS = """r as (select 'raw' || (o_custkey % 3) as raw_file, (o_orderkey * 2)::int as scan, o_orderkey::int as index, round(o_totalprice / 100, 6) as "precursorMZ",
@@ -183,4 +183,4 @@ def sql() -> dict[str, str]:
 
 def _profile() -> str:
     return """d as (select delta_mass as d from x where abs(delta_mass) > 0.1 and abs(delta_mass) < 200), l as (select min(d) as lo, (max(d) - min(d)) / 1000 as w from d),
-    h as (select least(999, floor((d - lo) / w)::int)::bigint as bin, round(max(lo) + (least(999, floor((d - lo) / w)::int) + 0.5) * max(w), 5) as center, count(*) as n from d, l group by least(999, floor((d - lo) / w)::int))"""
+    h as (select least(999, floor((d - lo) / w)::int)::bigint as bin, round(max(lo) + (least(999, floor((d - lo) / w)::int) + 0.5) * max(w), 8) as center, count(*) as n from d, l group by least(999, floor((d - lo) / w)::int))"""

@@ -149,7 +149,7 @@ def _normalised(spark, d, method) -> DataFrame:
     p = bridge.peak_lists(spark, d)
     v = peaks.normalise(F.transform("peaks", lambda x: x.intensity), method)
     e = p.select("spec_id", F.posexplode(peaks.zip_peaks(F.transform("peaks", lambda x: x.mz), v)).alias("pos", "p"))
-    return e.select("spec_id", "pos", _r(F.col("p.mz")).alias("mz"), _r(F.col("p.intensity")).alias("intensity"))
+    return e.select("spec_id", "pos", _r(F.col("p.mz")).alias("mz"), _r(F.col("p.intensity"), 9).alias("intensity"))
 
 
 for _m in peaks.METHODS:
@@ -396,7 +396,7 @@ def inspect_view(spark: SparkSession, d: str) -> DataFrame:
 @query
 def delta_mass_profile(spark: SparkSession, d: str) -> DataFrame:
     p = report.delta_profile(bridge.psms(spark, d), bins=1000)
-    return p.select(F.col("bin").cast("long").alias("bin"), _r(F.col("center"), 5).alias("center"), "n")
+    return p.select(F.col("bin").cast("long").alias("bin"), _r(F.col("center"), 8).alias("center"), "n")
 
 
 @query

@@ -579,6 +579,35 @@ def test_decontamination(spark):
     assert all(not r.leaks for r in none)
 
 
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_items_that_many_documents_hold(spark, every):
+    rng = random.Random(18)
+    items = spark.createDataFrame([(k, prose(rng, n, 5000)) for k, n in enumerate([20, 20, 40])], "item_id long, text string")
+    texts = [r.text for r in items.orderBy("item_id").collect()]
+    rows = [(k, " ".join([prose(rng, 90, 5000), *(texts if k % every == 0 else []), prose(rng, 90, 5000)])) for k in range(60)]
+    for some in (rows, rows[:1]):
+        got = {r.doc_id: {x.item_id for x in r.leaks} for r in decontaminate.matches(frame(spark, some), items).collect()}
+        assert got == {k: {0, 1, 2} if k % every == 0 else set() for k, _ in some}
+
+
+def test_rare_pairs_find_what_the_cosine_does_not():
+    """Each copy that lacks or replaces as many words as may be missing holds one of the item's rare pairs."""
+    rng = random.Random(19)
+    for n in (5, 9, 20, 33):
+        words = np.array([rng.randrange(1, 12) for _ in range(n)], np.uint64)
+        held = set(decontaminate.rare_pairs(words, np.array([rng.random() for _ in words]), 0.7).tolist())
+        for _ in range(200):
+            copy, missing = words.copy(), rng.sample(range(n), n - -(-7 * n // 10))
+            copy[missing] = 99
+            for w in (copy, np.delete(words, missing)):
+                assert held & set(decontaminate.pairs(w).tolist())
+    # no cosine reaches 2, so the pairs alone find the items, the short and the long one
+    items = [prose(rng, n, 400) for n in (20, 60)]
+    searcher = decontaminate.Searcher([7, 8], decontaminate.hashed(items), np.ones(64, np.float32), np.eye(64, dtype=np.float32), 64, 2.0, 0.7, 0.5)
+    found = searcher.search(pa.array([prose(rng, 100), *(prose(rng, k) + " " + " ".join(items) for k in range(0, 90, 7))]))
+    assert [[x[0] for x in row] for row in found] == [[]] + [[7, 8]] * 13
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(14)
     items = [(k, prose(rng, 30, 5000)) for k in range(12)]

@@ -7,15 +7,37 @@ writes as Parquet and reads back as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ionforge.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from ionforge.llm.common import rows_without_keys, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows_without_keys(docs, written(scored.filter("not accepted").select("doc_id"), "pipeline-rejected"), ["doc_id"])
+    """Documents that the quality classifier rejects go.
+
+    Each row has its own decision, also where ids are null or repeated: rows of
+    one id, source, language and text, and only those, are scored alike.
+    """
+    host, path, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "text"))
+    key = F.sha2(F.concat(F.sha2(host, 256), F.sha2(path, 256), text), 256)
+    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=key)
+    rejected = written(scored.filter("not accepted").select("doc_id", F.col("key").alias("__key")), "pipeline-rejected")
+    return rows_without_keys(docs.withColumn("__key", key), rejected, ["doc_id", "__key"]).drop("__key")
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own as ``__row``; written, so that the numbers stay."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """Of each group of (__row, group) the row of the smallest doc_id, nulls last."""
+    groups = written(groups, f"{name}-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("group").agg(first).select("first.__row")
+    gone = written(groups.select("__row").join(kept, "__row", "left_anti"), f"{name}-gone")
+    return rows_without_keys(rows, gone, ["__row"]).drop("__row")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +46,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
-    groups = near_dedup.near_groups(docs, n=5, percent=80)
-    return rows_without_keys(docs, written(groups.filter("not kept").select("doc_id"), "pipeline-copies"), ["doc_id"])
+    """One document of each group of near copies stays: five words, a similarity of 0.8 or more.
+
+    Rows are grouped by a number of their own, as ids may be null or repeated.
+    The smallest id of a group stays; a null id stays only where the group has no other.
+    """
+    rows = numbered(docs, "pipeline-near-rows")
+    groups = near_dedup.near_groups(rows, id_col="__row", n=5, percent=80)
+    return first_of_groups(rows, groups.select("__row", F.col("component_id").alias("group")), "pipeline-near")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,27 +133,28 @@ def _strength(level: DataFrame, mean: str, n: str, good: str) -> Column:
     return F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.try_divide(base, F.greatest(true, F.lit(1e-9))) - 1))
 
 
-def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, key: Column | None = None) -> DataFrame:
     """Per row: id, host, path, evidence, host_posterior, path_posterior, score, accepted.
 
     ``host`` and ``path`` default to ``source`` and ``lang``; for a table of
     URLs give their host and first path segment.  ``labels`` has doc_id and
-    quality.
+    quality.  A ``key``, a string, is carried along as the last column.
     """
     spark = docs.sparkSession
     with_workers(spark)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"), *([] if key is None else [key.alias("key")]))
+    more = rows.columns[4:]
 
     def run(batches):
         for b in batches:
             x = features(b.column(3))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat], ["id", "host", "path", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat, *(b.column(c) for c in more)], ["id", "host", "path", "x", *more])
 
     idt = docs.schema[id_col].dataType.simpleString()
-    feats = written(spread(rows).mapInArrow(run, f"id {idt}, host string, path string, x array<double>"), "quality-features")
+    feats = written(spread(rows).mapInArrow(run, f"id {idt}, host string, path string, x array<double>" + "".join(f", {c} string" for c in more)), "quality-features")
     model = None
     if labels is not None:
         marked = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
@@ -165,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         y = np.array([r["quality"] for r in known], float)
         if 0 < y.sum() < len(y):
             model = fit(np.array([r["x"] for r in known]), y)
-    feats = feats.select("id", "host", "path", evidence(F.col("x"), model).alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    feats = feats.select("id", "host", "path", evidence(F.col("x"), model).alias("evidence"), *more).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     # sums by path, then host, then all: each level is far smaller than the one below
     paths = feats.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("good"))
     paths = written(paths, "quality-paths")
@@ -183,5 +184,5 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     path_post = (k_path * F.col("host_posterior") + F.col("good") - F.col("p")) / (k_path + F.col("n") - 1)
     out = out.withColumn("path_posterior", path_post)
     out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior"))))))
-    return out.select(F.col("id").alias(id_col), "host", "path", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("accepted"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("accepted"), *more)
 

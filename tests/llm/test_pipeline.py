@@ -57,3 +57,32 @@ def test_run_is_the_stages(spark, tmp_path):
     assert ids and not any(200 <= i < 600 for i in ids)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "decontaminate", "pack"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def stage(spark, tmp_path, name, rows):
+    """The (doc_id, text) rows that stage ``name`` keeps of these."""
+    planted(tmp_path, spark)
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    return Counter((r.doc_id, r.text) for r in kept.collect())
+
+
+def test_quality_decides_by_row(spark, tmp_path):
+    rng = random.Random(22)
+    good = [prose(rng, 60, 5000).capitalize() + "." for _ in range(40)]
+    bad = [" ".join(w + "%%%" for w in prose(rng, 60, 5000).split()) for _ in range(8)]
+    labelled = [(k, t) for k, t in enumerate(good[:30])] + [(501 + 2 * k, t) for k, t in enumerate(bad[:6])]
+    rows = [*labelled, *((None, t) for t in good[30:36]), (None, bad[6]), (700, good[36]), (700, bad[7]), (None, None)]
+    kept = stage(spark, tmp_path, "quality", rows)
+    assert {x: n for x, n in kept.items() if x[1]} == {x: 1 for x in rows if x[1] and x[1] not in bad}
+
+
+def test_near_decides_by_row(spark, tmp_path):
+    rng = random.Random(23)
+    a, b, c, d, e = (prose(rng, 100, 5000) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (None, a + " again"), (None, c), (None, c + " more"), (None, d), (3, d + " more"), (4, e), (None, None), (4, None)]
+    kept = stage(spark, tmp_path, "near", rows)
+    assert len([x for x in kept if x[0] is None and x[1] and x[1].startswith(c)]) == 1
+    assert {x for x in kept if not (x[1] or "").startswith(c)} == {(1, a), (2, b), (3, d + " more"), (4, e), (None, None), (4, None)}
+    assert set(kept.values()) == {1}

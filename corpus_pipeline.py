@@ -41,8 +41,13 @@ def first_of_groups(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays."""
-    return exact_dedup.keep_first(docs)
+    """Of documents with equal texts the one with the smallest id stays, in one row.
+
+    A null id stays only where the group has no other.
+    """
+    rows = numbered(docs, "pipeline-exact-rows")
+    groups = exact_dedup.exact_groups(rows, id_col="__row")
+    return first_of_groups(rows, groups.select("__row", F.col("keep_id").alias("group")), "pipeline-exact")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,13 @@ def test_near_decides_by_row(spark, tmp_path):
     assert len([x for x in kept if x[0] is None and x[1] and x[1].startswith(c)]) == 1
     assert {x for x in kept if not (x[1] or "").startswith(c)} == {(1, a), (2, b), (3, d + " more"), (4, e), (None, None), (4, None)}
     assert set(kept.values()) == {1}
+
+
+def test_exact_and_near_keep_one_row_of_a_group(spark, tmp_path):
+    rng = random.Random(24)
+    a, b = (prose(rng, 100, 5000) for _ in range(2))
+    rows = [(1, a), (1, a), (2, a.replace(" ", "  ")), (None, a), (None, b), (None, b), (5, None), (5, ""), (5, b + " more")]
+    kept = stage(spark, tmp_path, "exact", rows)
+    assert sorted((i or 0, (t or "")[:20], n) for (i, t), n in kept.items()) == sorted([(1, a[:20], 1), (0, b[:20], 1), (5, "", 1), (5, b[:20], 1)])
+    kept = dict(corpus_pipeline.STAGES)["near"](spark, spark.createDataFrame([(1, a), (1, a), (2, b)], "doc_id long, text string"), str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]

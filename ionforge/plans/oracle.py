@@ -98,6 +98,12 @@ _SCORED = f"""{_candidates()}, {_PEAKS},
     sc as (select c.spec_id, c.pos, c.peptide, coalesce(n, 0) as n_matched, round(case when coalesce(n, 0) > 4 then n * total else -coalesce(total, 0) end, 4) + 0.0 as score
            from cand c left join hits using (spec_id, pos, peptide) where c.spec_id in (select spec_id from tp))"""
 
+#: Every distinct peptide as a candidate of one spectrum.
+_DEALT = f"""sp as (select spec_id, row_number() over (order by spec_id) - 1 as k, count(*) over () as n from (select distinct l_partkey as spec_id from lineitem)),
+    pk as (select peptide, ('0x' || substr(md5(peptide), 1, 8))::bigint % (select max(n) from sp) as k from p),
+    cand as (select spec_id, (2 + spec_id % 2)::int as charge, row_number() over (partition by spec_id order by peptide) as pos, peptide from pk join sp using (k))"""
+_SCORED_ALL = _SCORED.replace(_candidates(), _DEALT)
+
 
 def sql() -> dict[str, str]:
     stats = "count(*) as n, sum(length(peptide))::bigint as residues, min(peptide) as first, max(peptide) as last"
@@ -157,6 +163,13 @@ def sql() -> dict[str, str]:
         "peak_match": f"""{_T}, {_candidates()}, one as (select * from cand where pos = 1), {_ions('one')}, {_PEAKS}
             select k.spec_id, count(*) as n, sum(intensity) as intensity from k join one using (spec_id)
             where exists (select 1 from ions i where i.peptide = one.peptide and i.charge = one.charge and abs(k.mz - i.ion) < 2.0) group by k.spec_id""",
+        "match_score_all": f"{_T}, {_SCORED_ALL} select spec_id, pos, peptide, n_matched, score from sc",
+        "best_per_spectrum_all": f"{_T}, {_SCORED_ALL} select spec_id, pos, peptide, score from sc qualify row_number() over (partition by spec_id order by score desc, pos desc) = 1",
+        "peak_match_all": f"""{_T}, {_DEALT}, {_ions('cand')}, {_PEAKS}
+            select k.spec_id, c.peptide, count(*) as n, sum(intensity) as intensity from k join cand c using (spec_id)
+            where exists (select 1 from ions i where i.peptide = c.peptide and i.charge = c.charge and abs(k.mz - i.ion) < 2.0) group by all""",
+        "accession_join_all": f"""{_T}, {_DEALT} select spec_id, cand.peptide as best_peptide, accessions from cand
+            join (select peptide, string_agg(accession, ',' order by accession) as accessions from t group by peptide) a using (peptide)""",
         "score_transform": """with v as (select o_orderkey as psm_id, (floor(o_totalprice / 1000)::bigint % 12 - 2)::double as raw from orders)
             select psm_id, raw, case when raw < -1 then 'nan' when raw = -1 then 'inf' else 'number' end as kind, case when raw > -1 then round(-ln(case when raw > -1 then raw + 1 else 1 end), 6) + 0.0 end as score from v""",
         "fdr_qvalues": f"with {_PSMS}, {_q('y')} select score, n_target, n_decoy, round(q, 6) as q from q",

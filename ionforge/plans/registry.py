@@ -5,7 +5,7 @@ Each runs over its whole tables.  The equivalent SQL is in ``oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import buckets, chemistry, encode, peaks, vectors
@@ -291,6 +291,47 @@ def _candidates(spark, d) -> DataFrame:
     return s.join(few, "k").select("spec_id", "charge", "pos", "peptide")
 
 
+def _dealt(spark, d) -> DataFrame:
+    """Every distinct peptide as a candidate of one spectrum, drawn by its hash; none is left out."""
+    ids = bridge.peak_rows(spark, d).select("spec_id").distinct().withColumn("part", F.floor(F.col("spec_id") / 1000))
+    # spectra are numbered within parts of a thousand, and only the parts' sizes are summed up in one task
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = ids.join(parts, "part").select("spec_id", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("spec_id")) - 1).alias("k"))
+    p = _distinct(spark, d).select("peptide", _k(max(ids.count(), 1)).alias("k")).join(numbered, "k")
+    return p.select("spec_id", (2 + F.col("spec_id") % 2).cast("int").alias("charge"), F.row_number().over(Window.partitionBy("spec_id").orderBy("peptide")).alias("pos"), "peptide")
+
+
+@query
+def match_score_all(spark: SparkSession, d: str) -> DataFrame:
+    """``match_score`` over all distinct peptides."""
+    spectra = bridge.peak_lists(spark, d).withColumn("charge", (2 + F.col("spec_id") % 2).cast("int"))
+    s = match.score_candidates(spectra, _dealt(spark, d).drop("charge"), tolerance=WIDE, n_peaks=100)
+    return s.select("spec_id", F.col("pos").cast("long").alias("pos"), "peptide", F.col("n_matched").cast("long").alias("n_matched"), _r(F.col("score"), 4).alias("score"))
+
+
+@query
+def best_per_spectrum_all(spark: SparkSession, d: str) -> DataFrame:
+    return match.best_per_spectrum(match_score_all(spark, d)).select("spec_id", "pos", "peptide", "score")
+
+
+@query
+def peak_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """Matched peaks per peptide, over all distinct peptides, as a band join of peak rows with ion rows."""
+    c = _dealt(spark, d)
+    ions = c.select("spec_id", "peptide", F.explode(chemistry.fragment_ions(F.col("peptide"), F.col("charge"))).alias("ion"))
+    rows = bridge.peak_rows(spark, d).join(c.select("spec_id", "peptide"), "spec_id")
+    hit = match.band_matches(rows, ions, WIDE, ["spec_id", "peptide"])
+    return hit.groupBy("spec_id", "peptide").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity"))
+
+
+@query
+def accession_join_all(spark: SparkSession, d: str) -> DataFrame:
+    best = _dealt(spark, d).select("spec_id", F.col("peptide").alias("best_peptide"))
+    a = fdr.with_accessions(best, digest.protein_map(_peptides(spark, d)))
+    return a.select("spec_id", "best_peptide", F.array_join("accession", ",").alias("accessions"))
+
+
 @query
 def ions_distinct(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("peptide", F.col("charge").cast("long").alias("charge")).distinct()

@@ -608,6 +608,17 @@ def test_rare_pairs_find_what_the_cosine_does_not():
     assert [[x[0] for x in row] for row in found] == [[]] + [[7, 8]] * 13
 
 
+def test_repetitive_item_is_confirmed_by_its_words_in_order():
+    """14 of 20 words in order that are only 3 of 9 distinct ones."""
+    item = decontaminate.hashed(["a " * 12 + "b c d e f g h i"])[0]
+    searcher = decontaminate.Searcher([1], [item], np.ones(64, np.float32), np.eye(64, dtype=np.float32), 64, 0.5, 0.7, 0.2)
+    assert searcher.confirm(decontaminate.hashed(["a " * 12 + "b c"])[0], 0) is None
+    item = decontaminate.hashed(["b c d e f g h " + "a " * 12 + "i"])[0]
+    searcher = decontaminate.Searcher([1], [item], np.ones(64, np.float32), np.eye(64, dtype=np.float32), 64, 0.5, 0.7, 0.5)
+    assert searcher.confirm(decontaminate.hashed(["h " + "a " * 12 + "i"])[0], 0) == (0.7, 1.0)
+    assert searcher.confirm(decontaminate.hashed(["h " + "a " * 12])[0], 0) is None
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(14)
     items = [(k, prose(rng, 30, 5000)) for k in range(12)]

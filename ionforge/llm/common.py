@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row limit of one Arrow batch, so that a batch of long texts stays small.
+#: Bytes of an Arrow batch while a table is written; for that time only.
+BATCH_BYTES = 8 << 20
+#: Rows that a Python function handles at once.
 BATCH_ROWS = 1000
 #: Bytes of text that the kernel handles at once; its arrays of them stay in the CPU's cache.
 CHUNK_BYTES = 1 << 18
@@ -32,11 +37,14 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset,
-    as in tests on one machine, a temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset
+    and all of Spark runs in this process, as in tests, a temporary folder is
+    made and set; on a cluster an unset folder is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ionforge-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/ionforge-{spark.sparkContext.applicationId}"
@@ -62,15 +70,69 @@ def cleanup(spark: SparkSession) -> None:
     delete(spark, shared_dir(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a file of a table of small rows.
+FILE_ROWS = 200_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES within the block; the session's own bound comes back behind it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, most: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    With ``most``, a bound of its rows, the last stage has no more tasks, and so
+    the table no more files, than there are cores or files of ``file_rows`` rows.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, 1 + most // file_rows))
+    with small_batches(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.ionforge_path = path
     return back
 
 
+def sliced(batches) -> Iterator:
+    """The same rows in batches of BATCH_ROWS at most, without a copy."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_apart(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with columns by the names of results renamed: ``_in`` is appended, as often as it takes."""
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in results}:
+            new = c + "_in"
+            while new.lower() in {x.lower() for x in df.columns}:
+                new += "_in"
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
 def drop_written(df: DataFrame) -> None:
     delete(df.sparkSession, df.ionforge_path)
 
@@ -79,8 +141,8 @@ def drop_written(df: DataFrame) -> None:
 KEY_BUCKETS = 1 << 20
 
 
-def _bucketed(keys: DataFrame, cols: list[str]) -> DataFrame:
-    return F.broadcast(keys.select(F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)).alias("__bucket")).distinct())
+def _bucketed(keys: DataFrame, cols: list[str], name: str) -> DataFrame:
+    return F.broadcast(keys.select(F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)).alias(name)).distinct())
 
 
 def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
@@ -92,7 +154,8 @@ def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str], exact: bool
     rows of other keys in the same buckets may be among the result, and nothing
     is shuffled.
     """
-    some = df.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS))).join(_bucketed(keys, cols), "__bucket", "left_semi").drop("__bucket")
+    (bucket,) = free_names(df, "bucket")
+    some = df.withColumn(bucket, F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS))).join(_bucketed(keys, cols, bucket), bucket, "left_semi").drop(bucket)
     if not exact:
         return some
     return some.join(keys.select(*cols).distinct(), cols, "left_semi")
@@ -100,31 +163,44 @@ def rows_with_keys(df: DataFrame, keys: DataFrame, cols: list[str], exact: bool
 
 def rows_without_keys(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
     """The rows of ``df`` whose ``cols`` are not in ``keys``; a null is a value like others."""
-    marked = df.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)))
-    buckets = _bucketed(keys, cols)
-    clear = marked.join(buckets, "__bucket", "left_anti").drop("__bucket")
-    gone = keys.select(*(F.col(c).alias(f"__gone_{c}") for c in cols)).distinct()
+    bucket, *gone_cols = free_names(df, "bucket", *(f"gone_{c}" for c in cols))
+    marked = df.withColumn(bucket, F.pmod(F.xxhash64(*cols), F.lit(KEY_BUCKETS)))
+    buckets = _bucketed(keys, cols, bucket)
+    clear = marked.join(buckets, bucket, "left_anti").drop(bucket)
+    gone = keys.select(*(F.col(c).alias(g) for c, g in zip(cols, gone_cols, strict=True))).distinct()
     same = None
-    for c in cols:
-        eq = F.col(c).eqNullSafe(F.col(f"__gone_{c}"))
+    for c, g in zip(cols, gone_cols, strict=True):
+        eq = F.col(c).eqNullSafe(F.col(g))
         same = eq if same is None else same & eq
-    rest = marked.join(buckets, "__bucket", "left_semi").drop("__bucket").join(gone, same, "left_anti")
+    rest = marked.join(buckets, bucket, "left_semi").drop(bucket).join(gone, same, "left_anti")
     return clear.unionByName(rest)
 
 
 def with_workers(spark: SparkSession) -> None:
-    """Let Python workers find this package, and bound the rows of a batch."""
+    """Let Python workers find this package."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def _is_scan(plan) -> bool:
+    """Is this optimized plan a scan with projections and filters only?"""
+    name = plan.getClass().getSimpleName()
+    if name == "LogicalRelation":
+        return True
+    return name in ("Project", "Filter") and _is_scan(plan.children().head())
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, if the files make fewer partitions than there are cores; large inputs stay as they are."""
+    """The same rows over all cores, if the files of a plain scan make fewer partitions than there are cores.
+
+    Large inputs stay as they are, and so does every other plan: to ask it for
+    its partitions could run its stages.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if not _is_scan(df._jdf.queryExecution().optimizedPlan()):
+        return df
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 

@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); component is the least node reachable.
 
     Each round gives every node the least label among its own and its
     neighbours', then replaces labels by their labels' labels (pointer
     jumping), so rounds grow with the logarithm of the longest path.  Labels
     are written tables; the joins have plain exchanges on both sides, which
-    adaptive execution splits where a node has very many links.
+    adaptive execution splits where a node has very many links.  ``most`` bounds
+    the nodes, if it is known.
     """
-    links = written(links.select("a", "b").filter("a != b").distinct(), "links")
-    labels = written(
-        links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"))).groupBy("node").agg(F.least(F.col("node"), F.min("m")).alias("label")),
-        "labels",
-    )
+    links = written(links.select("a", "b").filter("a != b").distinct(), "links", most)
+    first = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m")))
+    labels = written(first.groupBy("node").agg(F.least(F.col("node"), F.min("m")).alias("label")), "labels", most)
     while True:
         near = (
             links.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
             .unionByName(links.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label"))
             .unionByName(labels.select("node", "label"))
         )
-        low = written(near.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        low = written(near.groupBy("node").agg(F.min("label").alias("label")), "labels", most)
         up = low.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = written(low.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
+        jumped = written(low.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels", most)
         changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count()
         drop_written(low)
         drop_written(labels)
@@ -38,3 +37,18 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             drop_written(links)
             return labels.withColumnRenamed("label", "component")
+
+
+def relabelled(labels: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """The components of ``labels`` (node, component) joined by more links (a, b) between nodes, those without a label included.
+
+    The links are taken between components, so the graph that is walked is the
+    small one of what is left to join.
+    """
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    up = components(between, most)
+    above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    old = labels.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    new = up.join(labels.select("node"), "node", "left_anti")
+    return written(old.unionByName(new), "labels", most)

@@ -2,47 +2,61 @@
 
 A document's set holds its distinct word shingles.  Under each permutation both
 the least and the greatest value are kept, so half as many permutations give a
-signature of a certain length; least and greatest values agree with
-probability J each.  ``bands`` bands of ``rows`` values make the buckets.
-
-* Equal word sequences are one class with one representative.
-* A bucket's members are compared with the bucket's least member (by salted
-  steps: members with their salt's first, salts' firsts with the bucket's), not
-  with each other.  Comparisons are exact, on the full sets of 64-bit shingle
-  hashes, and give links and distances.
-* Buckets that then still hold several components are compared with a pivot,
-  the bucket's least member.
-* What is left are pairs of one bucket in different components.  A pair is
-  met once, in the first band that it shares, and compared unless it cannot be
-  a link: by sizes; as it shares fewer than ``SHARED`` of its bands; or by
-  ``BITS`` more min-max values of one bit each.  At a similarity of 0.8 these
-  miss a link with a probability of 4.6e-9 and 1.5e-8.
-
-So no link that could join components is lost, while a bucket of near copies
-costs a few comparisons per member.
+signature of a certain length.  ``bands`` bands of ``rows`` values make the
+buckets.
+
+* Equal word sequences are one class, known by its 128-bit fingerprint, and one
+  node of a number of its own, whatever the rows' ids.
+* Each node is compared with one hub, the least node of a bucket, and of its
+  buckets' hubs with that of which it shares most buckets.  Near copies become
+  one component by one comparison each.
+* Buckets that then still hold several components have their members compared
+  with the bucket's hub, if that is of another component.
+* What is left are pairs of one bucket in different components.  Members outside
+  a bucket's largest component are compared with those of other components,
+  unless sizes exclude a link, or ``BITS`` min-max values of one bit each differ
+  in more places than :func:`most_differing` allows.
+
+Comparisons are exact, on the full sets of 64-bit shingle hashes.  A hub's text
+is sent once to each ``HUB_ROWS`` of the nodes that are compared with it, and
+they pass it one by one.
+
+What can be lost, for a link at the threshold of 0.8 and permutations that are
+random and independent of each other: both values of a permutation agree with a
+probability of 0.6 at least, whatever the set's size (least for sets of 4 and
+5), and each of them with 0.8 (:func:`least_agreement`).  As two neighbouring
+bands share one permutation, all 64 bands fail with a probability below 3e-10
+(:func:`most_missed`).  The bits exclude a link with a probability below 1e-10,
+by Chernoff's bound, which holds for any size.
+So a link is lost with a probability below 4e-10, and only where no other links
+join its components.
 
 Defined results: null and empty texts and texts without words have an empty
-set and are linked with nothing; rows that repeat a document are copies of it;
-a null id is a component of its own; an empty table gives an empty result.
-Extra columns are ignored.
+set and are linked with nothing; rows that repeat a document are copies of it.
+Rows are judged one by one: rows that repeat an id with another text have the
+component of their own text.  A null id is a component of its own; an empty
+table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, drop_written, mixed, rows_with_keys, shingles, spread, with_workers, written
-from .graph import components
+from .common import SPACED, Words, drop_written, mixed, rows_with_keys, shingles, sliced, spread, with_workers, written
+from .graph import components, relabelled
 
 BANDS, ROWS = 64, 5
-#: Bands that a pair must share to be compared at the end.
-SHARED = 3
 #: Min-max values of one bit, kept for documents in buckets with several components.
-BITS = 2880
-SALTS = 8
+BITS = 4352
+#: Nodes to which a hub's text is sent once.
+HUB_ROWS = 500
+#: Texts of a file.
+TEXT_ROWS = 20_000
 _WORDS = Words(SPACED)
 
 
@@ -94,41 +108,85 @@ def bit_signatures(h: np.ndarray, row: np.ndarray, n: int, bits: int = BITS) ->
     return out
 
 
-def most_differing(percent: int, bits: int = BITS) -> int:
-    """Bits that a pair at the threshold exceeds with a probability of 1.5e-8."""
-    p = (1 - percent / 100) / 2
-    return int(bits * p + 5.55 * (bits * p * (1 - p)) ** 0.5) + 1
+def least_agreement(percent: int) -> float:
+    """The least probability that both values of a permutation agree for a link at the threshold, over all sizes.
+
+    With ``c`` of ``u`` shingles in common both agree if neither the first nor
+    the last of the union is one of the others: c (c - 1) / (u (u - 1)).
+    """
+    both = ((-(-percent * u // 100), u) for u in range(2, 1000))
+    return min(c * (c - 1) / (u * (u - 1)) for c, u in both if c < u)
+
+
+def most_missed(percent: int, bands: int = BANDS, rows: int = ROWS) -> float:
+    """A bound of the probability that a link at the threshold shares no band."""
+    one, two = percent / 100, least_agreement(percent)
+    half = two ** (rows // 2)
+    if rows % 2 == 0:
+        return (1 - half) ** bands
+    # a permutation gives its least value to one band and its greatest to the next
+    neighbours = two * (1 - half) ** 2 + 2 * (one - two) * (1 - half) + (1 - 2 * one + two)
+    return neighbours ** (bands // 2) * (1 - half * one) ** (bands % 2)
+
+
+def most_differing(percent: int, bits: int = BITS, loss: float = 1e-10) -> int:
+    """Bits that a link exceeds with a probability below ``loss``.
+
+    A value differs with the probability q = 1 - similarity, and then its bit
+    does so half the time.  Both values of a permutation agree with
+    c (c - 1) / (u (u - 1)) <= (c / u)**2, so both differ with q**2 at most, and
+    the moments of the sum are at most those of independent bits: Chernoff's
+    bound of a binomial sum holds for sets of any size.
+    """
+    q = (1 - percent / 100) / 2
+    k = math.ceil(bits * q) + 1
+    while bits * (k / bits * math.log(k / bits / q) + (1 - k / bits) * math.log((1 - k / bits) / (1 - q))) < -math.log(loss):
+        k += 1
+    return k - 1
+
+
+def _sets(texts: pa.Array, n: int):
+    """(first row, rows, hashes, row of each) of the distinct shingles of texts, some texts at a time; hashes ascend within a row."""
+    for first, at, data in _WORDS.chunks(texts):
+        m = len(at) - 1
+        h, _, _, row = _WORDS.split(at, data)
+        s, at_row = shingles(h, row, m, n)
+        order = np.lexsort((s, at_row))
+        s, at_row = s[order], at_row[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (at_row[1:] != at_row[:-1])
+        yield first, m, s[new], at_row[new], h, row
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists of longs."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel()))
 
 
 def _bits(texts: DataFrame, n: int) -> DataFrame:
-    """id and the bit signature of its text's set."""
+    """node and the bit signature of its text's set."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = np.zeros((b.num_rows, BITS // 64), np.uint64)
-            for first, at, data in _WORDS.chunks(b.column(1)):
-                h, _, _, row = _WORDS.split(at, data)
-                s, at_row = shingles(h, row, len(at) - 1, n)
+            for first, _, s, at_row, _, _ in _sets(b.column(1), n):
                 if len(s):
                     some = np.unique(at_row)
                     out[first + some] = bit_signatures(s, np.searchsorted(some, at_row), len(some))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], ["id", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _longs(out)], ["node", "bits"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, bits array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, bits array<long>")
 
 
 def _sketch(df: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, size of the set, fingerprint of the word sequence (two longs), bands."""
+    """id, hash of the text, size of the set, fingerprint of the word sequence (two longs), bands."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1)
+        for b in sliced(batches):
+            texts = b.column(2)
             size, f1, f2 = (np.zeros(len(texts), np.int64) for _ in range(3))
             sig = np.zeros((len(texts), bands), np.uint64)
-            for first, at, data in _WORDS.chunks(texts):
-                m = len(at) - 1
-                h, start, _, row = _WORDS.split(at, data)
+            for first, m, s, at_row, h, row in _sets(texts, n):
                 if not len(h):
                     continue
                 count = np.bincount(row, minlength=m)
@@ -139,130 +197,138 @@ def _sketch(df: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     for f, c in ((f1, 0x9E3779B97F4A7C15), (f2, 0xC2B2AE3D27D4EB4F)):
                         v = mixed(h + place.astype(np.uint64) * np.uint64(c))
                         f[first + some] = np.add.reduceat(v, begin).view(np.int64)
-                s, at_row = shingles(h, row, m, n)
-                order = np.lexsort((s, at_row))
-                s, at_row = s[order], at_row[order]
-                new = np.ones(len(s), bool)
-                new[1:] = (s[1:] != s[:-1]) | (at_row[1:] != at_row[:-1])
-                s, at_row = s[new], at_row[new]
                 size[first : first + m] = np.bincount(at_row, minlength=m)
                 dense = np.cumsum(np.concatenate([[0], (at_row[1:] != at_row[:-1]).astype(np.int64)]))
                 sig[first + some] = signatures(s, dense, len(some), bands, rows)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(f1), pa.array(f2), flat], ["id", "size", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(f1), pa.array(f2), _longs(sig)], ["id", "t", "size", "f1", "f2", "bands"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, size long, f1 long, f2 long, bands array<long>")
+    return df.select("id", "t", "text").mapInArrow(run, "id long, t long, size long, f1 long, f2 long, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Adds ``linked`` to (a, b), from the full sets of both texts."""
-    both = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-    )
-
-    def sets(column):
-        out = []
-        for _, at, data in _WORDS.chunks(column):
-            h, _, _, row = _WORDS.split(at, data)
-            m = len(at) - 1
-            s, at_row = shingles(h, row, m, n)
-            ends = np.searchsorted(at_row, np.arange(m + 1))
-            out += [np.unique(s[ends[i] : ends[i + 1]]) for i in range(m)]
-        return out
+    """Adds ``linked`` to (a, b), from the full sets of both texts.
+
+    Pairs are dealt by their hub ``a``, at most about HUB_ROWS of them together.
+    """
+    counts = pairs.groupBy("a").agg(F.expr(f"count(1) div {HUB_ROWS}").alias("last"))
+    dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("part"), "b", F.col("b").alias("node"))
+    hubs = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    rows = hubs.unionByName(dealt).join(texts, "node").select("a", "part", "b", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
 
     def run(batches):
-        for b in batches:
-            # texts that follow each other are often the same
-            x, y = sets(_runs(b.column(2))[0]), sets(b.column(3))
-            of = _runs(b.column(2))[1]
-            linked = []
-            for i, q in enumerate(y):
-                p = x[of[i]]
-                z = np.concatenate([p, q])
-                z.sort()
-                common = int((z[1:] == z[:-1]).sum())
-                union = len(p) + len(q) - common
-                linked.append(common > 0 and 100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return both.mapInArrow(run, "a long, b long, linked boolean")
-
-
-def _runs(column):
-    """Distinct values of an Arrow column, and each row's number among them."""
-    d = column.dictionary_encode()
-    return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
-
-
-def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (key, id, ...) of buckets with more than one component, with ``component``."""
-    group = components(links)
-    rows = written(rows.join(group.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near-rows")
+        hub = None
+        for b in sliced(batches):
+            a, member = b.column(0).to_numpy(), b.column(1)
+            is_hub = member.is_null().to_numpy(zero_copy_only=False)
+            linked = np.zeros(b.num_rows, bool)
+            for first, m, s, at_row, _, _ in _sets(b.column(2), n):
+                size = np.bincount(at_row, minlength=m)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                # rows of one hub follow it, here or among the texts before
+                starts = np.flatnonzero(is_hub[first : first + m]).tolist()
+                if not starts or starts[0]:
+                    starts.insert(0, 0)
+                for lo, hi in zip(starts, [*starts[1:], m], strict=True):
+                    if is_hub[first + lo]:
+                        hub = s[ends[lo] : ends[lo + 1]]
+                        lo += 1
+                    if hi > lo:
+                        linked[first + lo : first + hi] = _like(hub, s[ends[lo] : ends[hi]], at_row[ends[lo] :], size, percent, lo, hi)
+            some = ~is_hub
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]), member.filter(pa.array(some)), pa.array(linked[some])], ["a", "b", "linked"])
+
+    return rows.mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _like(hub: np.ndarray, s: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int, lo: int, hi: int) -> np.ndarray:
+    """Whether the sets of rows ``lo`` to ``hi``, whose hashes are ``s``, are linked with the hub's."""
+    if not len(hub):
+        return np.zeros(hi - lo, bool)
+    at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+    common = np.bincount(row[: len(s)][hub[at] == s] - lo, minlength=hi - lo)
+    return (common > 0) & (100 * common >= percent * (len(hub) + size[lo:hi] - common))
+
+
+def _open(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The rows (key, node, hub, component) of buckets with more than one component."""
+    rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return written(rows.join(written(keys, "near-keys"), "key", "left_semi"), "near-open")
-
-
-def _rest(stars: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """More links (a, b): those between a bucket's components that the stars did not show."""
-    links = tested.filter("linked").select("a", "b")
-    failed = tested.filter("not linked").select("a", "b")
-    keys = written(stars.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "near-keys")
-    inside = stars.join(keys, "key", "left_semi")
-    inside = inside.select("key", F.col("a").alias("id")).unionByName(inside.select("key", F.col("b").alias("id"))).distinct()
-    inside = _open(inside, links).drop("component")
-    pivots = written(inside.groupBy("key").agg(F.min("id").alias("pivot")), "near-pivots")
-    pairs = inside.join(pivots, "key").filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    found = written(_confirm(pairs, texts, n, percent), "near-tested").filter("linked").select("a", "b")
-    inside = _open(inside, links.unionByName(found))
-    ids = written(inside.select("id").distinct(), "near-ids")
-    marks = rows_with_keys(reps, ids, ["id"]).select("id", "size", "bands").join(_bits(rows_with_keys(texts, ids, ["id"]), n), "id")
-    # only members outside a bucket's largest component are compared, with all of the others
-    counts = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = written(counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "near-main")
-    inside = inside.join(main, "key").withColumn("main", F.col("component") == F.col("main"))
-    inside = written(inside.join(marks, "id"), "near-inside")
-    left, right = (inside.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "id", "component", "main", "size", "bands", "bits"))) for s in "ab")
-    left = left.filter("not main_a")
-    able = f"""key_a = key_b and (main_b or id_a < id_b) and component_a != component_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)
-        and array_intersect(bands_a, bands_b)[0] = key_a and size(array_intersect(bands_a, bands_b)) >= {SHARED}
-        and aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {most_differing(percent)}"""
-    rest = left.join(right, F.expr(able)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return found.unionByName(written(_confirm(rest, texts, n, percent), "near-tested").filter("linked").select("a", "b"))
+    return written(rows.join(keys, "key", "left_semi"), "near-open", most)
+
+
+def _rest(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    """The pairs (a, b) of nodes of one bucket and different components that may be links."""
+    counts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    keys = written(open_.groupBy("node").agg(F.collect_list("key").alias("keys")), "near-keys", most)  # a node has as many as bands at most
+    marks = _bits(rows_with_keys(texts, keys, ["node"], exact=False), n).join(keys, "node").join(rows_with_keys(nodes, keys, ["node"], exact=False).select("node", "size"), "node")
+    marks = written(marks, "near-marks", most, TEXT_ROWS)
+    rows = open_.select("key", "node", "component").join(main, "key").withColumn("main", F.col("component") == F.col("main"))
+    # only members outside a bucket's largest component are compared, with those of other components
+    left, right = (x.join(marks, "node").select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "component", "main", "size", "bits", "keys"))) for x, s in ((rows.filter("not main"), "a"), (rows, "b")))
+    # a pair is met once, in the first bucket that it shares
+    able = f"""key_a = key_b and (main_b or node_a < node_b) and component_a != component_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)
+        and aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {most_differing(percent)} and array_min(array_intersect(keys_a, keys_b)) = key_a"""
+    return left.join(right, F.expr(able)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _links(keys: DataFrame, nodes: DataFrame, texts_of, n: int, percent: int, count: int) -> DataFrame | None:
+    """The components (node, component) of ``keys`` (key, node), or None where no bucket holds two nodes."""
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    members = written(keys.join(hubs, "key"), "near-members")
+    rows = members.count()
+    if not rows:
+        return None
+    texts = texts_of(members.select("node").distinct())
+    shared = members.filter("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    tested = written(_confirm(written(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), "near-pairs", count), texts, n, percent), "near-tested", count)
+    labels = components(tested.filter("linked"), count)
+    open_ = _open(members, labels, rows)
+    if open_.limit(1).count():
+        hubs = open_.filter("node = hub").select("key", F.col("component").alias("other"))
+        pairs = open_.join(hubs, "key").filter("component != other").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs", rows)
+        again = written(_confirm(pairs, texts, n, percent), "near-tested", rows)
+        labels = relabelled(labels, again.filter("linked"), count)
+        open_ = _open(open_.drop("component"), labels, rows)
+        if open_.limit(1).count():
+            tested = tested.unionByName(again).select("a", "b")
+            pairs = written(_rest(open_, nodes, texts, n, percent, rows).join(tested, ["a", "b"], "left_anti"), "near-pairs", rows)
+            last = written(_confirm(pairs, texts, n, percent), "near-tested", rows)
+            labels = relabelled(labels, last.filter("linked"), count)
+    drop_written(texts)
+    drop_written(members)
+    return labels
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     spark = df.sparkSession
     with_workers(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     sketch = written(_sketch(spread(docs), n, bands, rows), "near-sketch")
-    full = sketch.filter("size > 0 and id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min_by(F.struct("id", "bands"), "id").alias("x"), F.min("size").alias("size"))
-    reps = written(classes.select(F.col("x.id").alias("id"), "size", F.col("x.bands").alias("bands")), "near-reps")
-    # a representative is known by its id; should rows repeat an id with other texts, one sketch stands for each
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    members = salted.withColumn("near", F.first("id").over(Window.partitionBy("key", "salt").orderBy("id")))
-    firsts = members.filter("id = near").select("key", "id").distinct()
-    top = firsts.withColumn("far", F.first("id").over(Window.partitionBy("key").orderBy("id"))).filter("id != far")
-    near = members.filter("id != near").select("key", "near", "id")
-    stars = written(near.select("key", F.col("near").alias("a"), F.col("id").alias("b")).unionByName(top.select("key", F.col("far").alias("a"), F.col("id").alias("b"))), "near-stars")
-    pairs = stars.select("a", "b").distinct()
-    ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    ids = written(ids, "near-ids")
-    texts = written(rows_with_keys(docs, ids, ["id"]).groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-    tested = written(_confirm(pairs, texts, n, percent), "near-tested")
-    links = tested.filter("linked").select("a", "b")
-    if tested.filter("not linked").limit(1).count():
-        links = links.unionByName(_rest(stars, tested, reps, texts, n, percent))
-    group = components(links)
-    drop_written(texts)
-    # class members follow their representative
-    of = sketch.filter("size > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    of = of.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"), "n", F.col("component").isNotNull().alias("linked"))
-    of = written(of.filter("n > 1 or linked").select("f1", "f2", "component"), "near-classes")
-    out = sketch.drop("bands").join(of, ["f1", "f2"], "left")
+    count = sketch.count()
+    # equal word sequences have one node, which stands for a row by its id and text
+    classes = sketch.filter("size > 0 and id is not null").groupBy("f1", "f2").agg(F.min_by(F.struct("id", "t", "bands"), F.struct("id", "t")).alias("x"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "x.*", "size", "n"), "near-nodes", count, TEXT_ROWS)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = written(nodes.select("node", "id", "t").join(wanted, "node", "left_semi"), "near-wanted", count)
+        found = rows_with_keys(docs, wanted, ["id", "t"], exact=False).join(wanted, ["id", "t"])
+        return written(found.groupBy("node").agg(F.min("text").alias("text")), "near-texts", count, TEXT_ROWS)
+
+    labels = _links(nodes.select("node", F.explode("bands").alias("key")), nodes, texts_of, n, percent, count)
+    of = nodes.select("node", "f1", "f2", "id", "n")
+    if labels is None:
+        of = of.filter("n > 1").select("f1", "f2", F.col("id").alias("component"))
+    else:
+        of = of.join(labels, "node", "left")
+        least = of.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+        of = of.filter("n > 1 or component is not null").join(least, "component", "left").select("f1", "f2", F.coalesce("least", "id").alias("component"))
+    of = written(of, "near-classes", count)
+    drop_written(nodes)
+    out = sketch.drop("bands", "t").join(of, ["f1", "f2"], "left")
     component = F.when((F.col("size") > 0) & F.col("component").isNotNull() & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -9,31 +9,43 @@ values have equal pseudonyms in all documents, and different values have
 different ones.  E-mail names and secrets are permuted character class by
 character class in the same way.
 
-Rows are handled alone: nothing is shuffled.  Defined results: null text stays
-null with no findings; empty text stays empty; repeated rows get equal results;
-an empty table gives an empty result.  Extra columns are carried along by
-:func:`pseudonymise`.
+A secret is the value behind a word such as ``password``, or a token that
+begins as well-known ones do; either has a digit, a letter and enough different
+characters, so that words are left alone.  A number such as 10.1.2.3 behind the
+word ``version`` is no address.  A North American number behind +1 whose area
+or exchange begins with 0 or 1 can't be dialled, but is taken for personal data
+all the same, and stays among such numbers.  Where a card's or account's digits
+are followed by more groups, shorter ends are tried.
+
+Rows are handled alone: nothing is shuffled, and time is linear in a text's
+length.  Defined results: null text stays null with no findings; empty text
+stays empty; repeated rows get equal results; null ids are carried; an empty
+table gives an empty result.  Extra columns are carried along by
+:func:`pseudonymise`; one by the name of the result is kept as ``<name>_in``.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import spread, with_workers
+from .common import kept_apart, sliced, spread, with_workers
 
 KINDS = ("email", "secret", "date", "ip", "card", "phone", "iban", "ssn")
 
 #: Patterns of candidates; validation follows. The order is that of KINDS.
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<secret>(?i:\b(?:token|key|api_key|secret|password|passwd)\b)\s*[=:]\s*["']?[A-Za-z0-9]{12,}["']?)
-    |(?P<date>(?<![\w./-])(?:\d{4}([-/.])\d{2}\4\d{2}|\d{2}([-/.])\d{2}\5\d{4})(?![\w/-]|\.\d))
+    |(?P<secret>(?i:\b(?:token|key|api_key|apikey|secret|password|passwd)\b)\s*[=:]\s*["']?[A-Za-z0-9](?:[\w!+/.~\#$%^&*-]*[A-Za-z0-9])["']?
+        |\b(?:sk-|gh[pousr]_|xox[abprs]-|AKIA|ASIA)[A-Za-z0-9](?:[\w-]*[A-Za-z0-9]))
+    |(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?!(?!T\d)[\w/-]|\.\d))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
     |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))
     |(?P<phone>(?<![\w.])(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))
@@ -41,8 +53,14 @@ PATTERN = re.compile(
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))""",
     re.VERBOSE | re.ASCII,
 )
-#: A text without these has no candidate.
-HINT = re.compile(r"[0-9@]|(?i:token|key|secret|passw)")
+#: A text without these has no finding.
+HINT = re.compile(r"[0-9@]")
+#: A secret's own characters, behind its name or its usual beginning.
+SECRET = re.compile(r"""((?:.*?[=:]\s*["']?)|sk-|gh[pousr]_|xox[abprs]-|AKIA|ASIA)([^"']+)(["']?)$""", re.DOTALL)
+#: Least characters of a secret, and least bits a character by their own frequencies.
+SECRET_CHARS, SECRET_BITS = 10, 2.5
+#: What stands before four numbers that are no address.
+VERSION = re.compile(r"(?:version|ver\.?|release|build|firmware)[\s:=#]*$", re.IGNORECASE)
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), 73414
 ROUNDS = 8
 
@@ -71,14 +89,13 @@ class Feistel:
                 return x
 
     def chars(self, s: str, tag: bytes) -> str:
-        """Permute a string within its letters' and digits' classes."""
+        """Permute a string of letters and digits within their classes; in pieces of 64 characters, each under its number."""
+        if len(s) > 64:
+            return "".join(self.chars(s[i : i + 64], tag[:10] + bytes([i // 64 % 256])) for i in range(0, len(s), 64))
         bases = [10 if c.isdigit() else 26 for c in s]
         x, n = 0, 1
         for c, b in zip(s, bases, strict=True):
             x, n = x * b + (ord(c) - ord("0" if c.isdigit() else "a" if c.islower() else "A")), n * b
-        # long strings in pieces of 64 characters, each under the number of its piece
-        if len(s) > 64:
-            return "".join(self.chars(s[i : i + 64], tag[:10] + bytes([i // 64 % 256])) for i in range(0, len(s), 64))
         x, out = self.permute(x, n, tag), []
         for c, b in zip(reversed(s), reversed(bases), strict=True):
             x, d = divmod(x, b)
@@ -141,7 +158,14 @@ def pseudonym(kind: str, value: str, f: Feistel) -> str | None:
         nanp = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
         if len(nanp) == 10 and (value[0] != "+" or digits[0] == "1"):
             if nanp[0] in "01" or nanp[3] in "01":
-                return None
+                if value[0] != "+":
+                    return None
+                x = int(nanp)
+                while True:  # walk on to the next number that can't be dialled either
+                    x = f.permute(x, 10**10, b"tel0")
+                    t = f"{x:010d}"
+                    if t[0] in "01" or t[3] in "01":
+                        return _refill(value, digits[0] + t)
             x = ((int(nanp[0]) - 2) * 100 + int(nanp[1:3])) * 800 + (int(nanp[3]) - 2) * 100 + int(nanp[4:6])
             x = f.permute(x * 10000 + int(nanp[6:]), 800 * 800 * 10000, b"nanp")
             x, line = divmod(x, 10000)
@@ -174,12 +198,30 @@ def pseudonym(kind: str, value: str, f: Feistel) -> str | None:
         parts = re.split(r"([._+-])", name)
         shape = "".join(c for p in parts[::2] for c in p)
         return _refill(name, f.chars(shape, b"email")) + "@" + domain
-    name = re.match(r"(.*?[=:]\s*[\"']?)([A-Za-z0-9]+)([\"']?)$", value, re.DOTALL)
-    raw = name[2]
+    name, raw, quote = SECRET.match(value).groups()
+    if not is_secret(raw):
+        return None
     if re.fullmatch(r"[0-9a-f]+", raw) and len(raw) <= 128:
         x = f.permute(int(raw, 16), 16 ** len(raw), b"hex%d" % len(raw))
-        return name[1] + f"{x:x}".zfill(len(raw)) + name[3]
-    return name[1] + f.chars(raw, b"secret") + name[3]
+        return name + f"{x:x}".zfill(len(raw)) + quote
+    return name + _refill(raw, f.chars("".join(c for c in raw if c.isalnum()), b"secret")) + quote
+
+
+def is_secret(raw: str) -> bool:
+    """Are there enough characters, a letter and a digit among them, and enough different ones?"""
+    if len(raw) < SECRET_CHARS or not any(c.isdigit() for c in raw) or not any(c.isalpha() for c in raw):
+        return False
+    n = len(raw)
+    return -sum(k / n * math.log2(k / n) for k in Counter(raw).values()) >= SECRET_BITS
+
+
+def _shorter(kind: str, value: str):
+    """The value and, where groups may follow that are not part of it, its shorter ends."""
+    yield value
+    if kind in ("card", "iban"):
+        for i in range(len(value) - 1, 12, -1):
+            if value[i] == " ":
+                yield value[:i]
 
 
 def replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int, str]]]:
@@ -189,41 +231,47 @@ def replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int, str]]
     out, spans, last, at = [], [], 0, 0
     while m := PATTERN.search(text, at):
         kind = next(k for k in KINDS if m[k] is not None)
-        key = (kind, m[0])
-        if key not in f.known:
-            if len(f.known) > 100_000:
-                f.known.clear()
-            f.known[key] = pseudonym(kind, m[0], f)
-        new = f.known[key]
+        new = None
+        if kind != "ip" or not VERSION.search(text, max(0, m.start() - 16), m.start()):
+            for value in _shorter(kind, m[0]):
+                key = (kind, value)
+                if key not in f.known:
+                    if len(f.known) > 100_000:
+                        f.known.clear()
+                    f.known[key] = pseudonym(kind, value, f)
+                new = f.known[key]
+                if new is not None:
+                    break
         if new is None:
             at = m.start() + 1
-            # go on behind the digits that were tried, not within them
+            # go on behind the letters or digits that were tried, not within them
             while at < len(text) and text[at].isalnum() and at < m.end():
                 at += 1
             continue
+        end = m.start() + len(value)
         out += [text[last : m.start()], new]
-        spans.append((kind, m.start(), m.end(), new))
-        last = at = m.end()
+        spans.append((kind, m.start(), end, new))
+        last = at = end
     return "".join(out) + text[last:] if spans else text, spans
 
 
-def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with the text replaced, and ``pii_spans`` of what was found."""
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text", result: str = "pii_spans") -> DataFrame:
+    """All columns of ``df`` with the text replaced, and ``result``, the spans of what was found."""
     with_workers(df.sparkSession)
-    spans = T._parse_datatype_string("array<struct<kind:string,start:int,end:int,pseudonym:string>>")
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != "pii_spans"), T.StructField("pii_spans", spans)])
-    names = schema.names
+    df = kept_apart(df, result)
+    schema = T.StructType([*df.schema.fields, T.StructField(result, T._parse_datatype_string("array<struct<kind:string,start:int,end:int,pseudonym:string>>"))])
+    names = df.columns
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
 
     def run(batches):
         f = Feistel(key.encode())
-        for b in batches:
+        for b in sliced(batches):
             texts, found = [], []
-            for t in b.column(text_col).to_pylist():
+            for t in b.column(names.index(text_col)).to_pylist():
                 t, s = (None, []) if t is None else replace(t, f)
                 texts.append(t)
                 found.append([dict(zip(("kind", "start", "end", "pseudonym"), x, strict=True)) for x in s])
-            cols = [pa.array(texts, b.column(n).type) if n == text_col else pa.array(found, span) if n == "pii_spans" else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            cols = [pa.array(texts, b.column(i).type) if n == text_col else b.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, span)], [*names, result])
 
-    return spread(df.drop("pii_spans")).mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

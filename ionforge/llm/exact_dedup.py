@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, rows_with_keys, rows_without_keys, written
+from .common import SPACE, free_names, rows_with_keys, rows_without_keys, written
 
 #: Salts of a digest; they bound what one task of the second step receives.
 SALTS = 16
@@ -53,14 +53,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = (
         salted.groupBy("digest", "t")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        .filter("group_size > 1")
         .select("digest", F.xxhash64("t").alias("second"), F.octet_length("t").alias("size"), "keep_id", "group_size")
     )
     groups = written(groups, "exact-groups")
     clash = groups.groupBy("digest", "second", "size").count().filter("count > 1").limit(1).count()
     if clash:
         raise ValueError("different texts share a label")
-    found = labelled.join(groups, ["digest", "second", "size"], "left")
+    found = labelled.join(groups.filter("group_size > 1"), ["digest", "second", "size"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
         F.col("id").alias(id_col),
@@ -73,7 +72,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay."""
-    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col), F.col("text_sha256").alias("__digest"))
+    (digest,) = free_names(df, "digest")
+    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col(id_col), F.col("text_sha256").alias(digest))
     gone = written(gone, "exact-gone")
-    marked = df.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    return rows_without_keys(marked, gone, [id_col, "__digest"]).drop("__digest")
+    marked = df.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
+    return rows_without_keys(marked, gone, [id_col, digest]).drop(digest)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, SPACED, Words, byte_table, shingles, spread, with_workers, written
+from .common import LETTERS, SPACED, Words, byte_table, shingles, sliced, spread, with_workers, written
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
@@ -148,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     more = rows.columns[4:]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = features(b.column(3))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat, *(b.column(c) for c in more)], ["id", "host", "path", "x", *more])

@@ -79,12 +79,13 @@ def _licence_sql() -> str:
     """Every template at every place of every text, tried one by one."""
     parts = []
     for t in license_scan.all_templates():
-        o, n = t.phrases[0][0], len(t.words)
+        (o, head), n = t.phrases[0], len(t.words)
         listed = ", ".join(f"'{w}'" for w in t.words)
-        there = " and ".join(f"p + {k} >= 0 and w[p + {k} + 1 : p + {k} + {len(x)}] = [{', '.join(repr(y) for y in x)}]" for k, x in t.phrases)
-        places = f"list_filter(range({-o}, len(w)), lambda p: {there})"
-        cover = f"len(list_filter(range(0, {n}), lambda j: p + j >= 0 and coalesce(w[p + j + 1] = [{listed}][j + 1], false))) / {n}.0::double"
-        parts.append(f"select row, '{t.label}' as label, {str(t.base).lower()} as base, p + {o} as place, {cover} as cover from (select row, w, unnest({places}) as p from d where list_has_all(w, [{', '.join(repr(y) for _, x in t.phrases for y in x)}]))")
+        stands = lambda at, x: f"w[{at} + 1 : {at} + {len(x)}] = [{', '.join(repr(y) for y in x)}]"
+        behind = "".join(f" and len(list_filter(range(p, p + {2 * n + 1}), lambda q: {stands('q', x)})) > 0" for _, x in t.phrases[1:])
+        places = f"list_filter(range(0, len(w)), lambda p: {stands('p', head)}{behind})"
+        cover = f"{license_scan.BASE_SCORE}::double" if t.base else f"len(list_filter(range(0, {n}), lambda j: p - {o} + j >= 0 and coalesce(w[p - {o} + j + 1] = [{listed}][j + 1], false))) / {n}.0::double"
+        parts.append(f"select row, '{t.label}' as label, {str(t.base).lower()} as base, p as place, {cover} as cover from (select row, w, unnest({places}) as p from d where list_has_all(w, [{', '.join(repr(y) for _, x in t.phrases for y in x)}]))")
     word = license_scan.WORD
     return f"""
         with d as (select row_number() over () as row, doc_id, regexp_extract_all({_LOWER}, '{word}') as w from documents),

@@ -213,6 +213,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     counts = pairs.groupBy("a").agg(F.expr(f"count(1) div {HUB_ROWS}").alias("last"))
     dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("part"), "b", F.col("b").alias("node"))
     hubs = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    texts = rows_with_keys(texts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), ["node"], exact=False)
     rows = hubs.unionByName(dealt).join(texts, "node").select("a", "part", "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
 
@@ -316,8 +317,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = written(nodes.select("node", "id", "t").join(wanted, "node", "left_semi"), "near-wanted", count)
-        found = rows_with_keys(docs, wanted, ["id", "t"], exact=False).join(wanted, ["id", "t"])
-        return written(found.groupBy("node").agg(F.min("text").alias("text")), "near-texts", count, TEXT_ROWS)
+        found = rows_with_keys(docs, wanted, ["id", "t"], exact=False).groupBy("id", "t").agg(F.min("text").alias("text"))
+        return written(found.join(wanted, ["id", "t"]).select("node", "text"), "near-texts", count, TEXT_ROWS)
 
     labels = _links(nodes.select("node", F.explode("bands").alias("key")), nodes, texts_of, n, percent, count)
     of = nodes.select("node", "f1", "f2", "id", "n")

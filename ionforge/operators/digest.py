@@ -76,7 +76,12 @@ def digest(
 
 
 def protein_map(peptides: DataFrame) -> DataFrame:
-    """(peptide, accessions), the accessions sorted."""
+    """(peptide, accessions), the accessions sorted.
+
+    A peptide's list is one value, as the result demands, and as long as the
+    proteins that hold it; for a table of many proteins with one peptide in
+    common keep :func:`digest`'s rows (peptide, accession) instead.
+    """
     return peptides.groupBy("peptide").agg(F.sort_array(F.collect_set("accession")).alias("accessions"))
 
 

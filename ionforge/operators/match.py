@@ -25,21 +25,23 @@ def distinct_ions(candidates: DataFrame, limit: int = 200) -> DataFrame:
     return pairs.withColumn("ions", chemistry.fragment_ions(F.col("peptide"), F.col("charge"), limit))
 
 
-def score_candidates(spectra: DataFrame, candidates: DataFrame, tolerance: float = 0.01, least: int = 4, n_peaks: int = 100) -> DataFrame:
+def score_candidates(spectra: DataFrame, candidates: DataFrame, tolerance: float = 0.01, least: int = 4, n_peaks: int = 100, n_fragments: int = 200) -> DataFrame:
     """(spec_id, pos, peptide, score, n_matched, ...) for ``spectra`` (spec_id, charge, peaks) and ``candidates`` (spec_id, pos, peptide, ...).
 
     Peaks are trimmed and normalised once per spectrum, ions computed once per
-    (peptide, charge).  Matching looks each peak's place up among the sorted
-    ions, for a whole Arrow batch of candidates at once; no peak is compared
-    with all ions.
+    (peptide, charge), of ``n_fragments`` ions at most.  Candidates meet their
+    ions before any peak is moved, and the spectra's peaks are joined once.
+    Matching looks each peak's place up among the sorted ions, for a whole Arrow
+    batch of candidates at once; no peak is compared with all ions.
     """
     workers.prepare(spectra.sparkSession)
     top = peaks.trim(F.col("peaks"), n_peaks)
     values = peaks.normalise(F.transform(top, lambda p: p.intensity))
-    ready = spectra.select("spec_id", "charge", peaks.zip_peaks(F.transform(top, lambda p: p.mz), values).alias("peaks"))
-    joined = candidates.join(ready, "spec_id")
-    joined = joined.join(distinct_ions(joined), ["peptide", "charge"])
-    names = [c for c in joined.columns if c not in ("peaks", "ions")]
+    charged = candidates.join(spectra.select("spec_id", "charge"), "spec_id")
+    charged = charged.join(distinct_ions(charged, n_fragments), ["peptide", "charge"])
+    names = charged.columns[:-1]
+    ready = spectra.select("spec_id", peaks.zip_peaks(F.transform(top, lambda p: p.mz), values).alias("peaks"))
+    joined = charged.join(ready, "spec_id")
     ready = joined.select(*names, F.transform("peaks", lambda p: p.mz).alias("__mz"), F.transform("peaks", lambda p: p.intensity).alias("__i"), "ions")
     schema = T.StructType([*(joined.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("n_matched", T.IntegerType())])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHARGES = (2, 3, 4, 5)
+#: The columns of the inspection view.
 INSPECTED = ["raw_file", "scan", "index", "precursorMZ", "pepmass", "charge", "best_is_decoy", "best_distance", "best_score", "best_peptide", "peptide_mass", "delta_mass", "accession"]
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """One field per key of the YAML file; keys that steer hardware only are read and ignored."""
+    """One field per key of the YAML file; keys that steer hardware only are ignored.
+
+    ``n_buckets_narrow`` sets the width of the mass cells by which the narrow
+    search joins; it changes the plan and no result.
+    """
 
     fasta: str = ""
     raws: str = ""
@@ -51,7 +56,28 @@ class SearchConfig:
         with open(path or os.environ[variable], encoding="utf-8") as f:
             return cls.from_mapping(yaml.safe_load(f) or {})
 
-    def inputs(self) -> tuple[str | None, list[str]]:
-        """The first FASTA file, by name, and all spectra files."""
-        fasta = sorted(glob.glob(self.fasta))
-        return (fasta[0] if fasta else None), sorted(glob.glob(self.raws))
+    def __post_init__(self) -> None:
+        if self.db_peptide_maximum_length > self.peptide_maximum_length:
+            raise ValueError("db_peptide_maximum_length exceeds peptide_maximum_length, to which peptides are padded")
+        if self.n_buckets_narrow < 1 or self.max_n_fragments < 1 or self.k < 1:
+            raise ValueError("n_buckets_narrow, max_n_fragments and k are at least 1")
+
+    @property
+    def narrow_radius(self) -> float:
+        """The width of a mass cell of the narrow search; it must exceed 2, the largest distance of unit vectors."""
+        return max(2.5, (self.max_peptide_mass - self.min_peptide_mass) / self.n_buckets_narrow)
+
+    def inputs(self, spark: SparkSession | None = None) -> tuple[str | None, list[str]]:
+        """The first FASTA file, by name, and all spectra files, in any store that Spark reads."""
+        spark = spark or SparkSession.builder.getOrCreate()
+        fasta = files(spark, self.fasta)
+        return (fasta[0] if fasta else None), files(spark, self.raws)
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """The sorted paths that a pattern names."""
+    if not pattern:
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or [])

@@ -78,17 +78,19 @@ def _ions(source: str) -> str:
     ions as (select *, row_number() over (partition by peptide, charge order by ion) as k from raw_ions qualify k <= 200)"""
 
 
-def _md5k(p: str, n: int) -> str:
+def _md5k(p: str, n: int | str) -> str:
     return f"(('0x' || substr(md5({p}), 1, 8))::bigint % {n})"
 
 
-def _candidates() -> str:
-    return f"""few as (select {_md5k('peptide', 200)} as k, min(peptide) as peptide from p group by 1),
-    cs as (select p_partkey as spec_id, (2 + p_partkey % 2)::int as charge, unnest(range(1, 11)) as pos from part),
-    cand as (select spec_id, charge, pos, peptide from cs join few on (spec_id * 7 + pos * 13) % 200 = few.k)"""
+def _dealt(ids: str) -> str:
+    """Every distinct peptide as a candidate of one spectrum of ``ids``."""
+    return f"""sp as (select spec_id, row_number() over (order by spec_id) - 1 as k, count(*) over () as n from ({ids})),
+    pk as (select peptide, {_md5k('peptide', '(select max(n) from sp)')} as k from p),
+    cand as (select spec_id, (2 + spec_id % 2)::int as charge, row_number() over (partition by spec_id order by peptide) as pos, peptide from pk join sp using (k))"""
 
 
-_SCORED = f"""{_candidates()}, {_PEAKS},
+_CANDIDATES = _dealt("select distinct l_partkey as spec_id from lineitem")
+_SCORED = f"""{_CANDIDATES}, {_PEAKS},
     top as (select *, row_number() over (partition by spec_id order by intensity desc, pos desc) as by_intensity from k qualify by_intensity <= 100),
     norm as (select spec_id, sqrt(sum(intensity * intensity)) as d from top group by spec_id),
     tp as (select spec_id, mz, intensity / d as intensity from top join norm using (spec_id)),
@@ -98,13 +100,6 @@ _SCORED = f"""{_candidates()}, {_PEAKS},
     sc as (select c.spec_id, c.pos, c.peptide, coalesce(n, 0) as n_matched, round(case when coalesce(n, 0) > 4 then n * total else -coalesce(total, 0) end, 4) + 0.0 as score
            from cand c left join hits using (spec_id, pos, peptide) where c.spec_id in (select spec_id from tp))"""
 
-#: Every distinct peptide as a candidate of one spectrum.
-_DEALT = f"""sp as (select spec_id, row_number() over (order by spec_id) - 1 as k, count(*) over () as n from (select distinct l_partkey as spec_id from lineitem)),
-    pk as (select peptide, ('0x' || substr(md5(peptide), 1, 8))::bigint % (select max(n) from sp) as k from p),
-    cand as (select spec_id, (2 + spec_id % 2)::int as charge, row_number() over (partition by spec_id order by peptide) as pos, peptide from pk join sp using (k))"""
-_SCORED_ALL = _SCORED.replace(_candidates(), _DEALT)
-
-
 def sql() -> dict[str, str]:
     stats = "count(*) as n, sum(length(peptide))::bigint as residues, min(peptide) as first, max(peptide) as last"
     return {
@@ -127,8 +122,8 @@ def sql() -> dict[str, str]:
         "mass_range_filter": f"{_T} select peptide, round({_mass('peptide')}, 6) as mass from p where round({_mass('peptide')}, 6) between 500 and 5000",
         "precursor_mass": f"with {_SPECTRA} select spec_id, charge, round({_PEPMASS}, 6) as pepmass from s",
         "spectrum_filter": f"with {_SPECTRA} select spec_id, charge, round({_PEPMASS}, 6) as pepmass from s where charge between 2 and 5 and round({_PEPMASS}, 6) between 500 and 5000",
-        "delta_mass": f"""{_T}, {_SPECTRA}, one as (select {_md5k('peptide', 997)} as k, min(peptide) as peptide from p group by 1)
-            select spec_id, peptide, round({_PEPMASS} - {_mass('peptide')}, 5) as delta_mass from s join one on s.spec_id % 997 = one.k""",
+        "delta_mass": f"""{_T}, {_SPECTRA}, {_dealt('select distinct spec_id from s')}
+            select spec_id, peptide, round({_PEPMASS} - {_mass('peptide')}, 5) as delta_mass from s join (select spec_id, peptide from cand) using (spec_id)""",
         "normalize_ion_current": _normal("sum(intensity * intensity)"),
         "normalize_l2": _normal("sqrt(sum(intensity * intensity))"),
         "normalize_sum": _normal("sum(intensity)"),
@@ -157,26 +152,26 @@ def sql() -> dict[str, str]:
             {_q('best')} select query_id, db_id, best.score, is_decoy, round(q.q, 6) as q from best join q on best.score = q.score""",
         "fragment_ions": f"""{_T}, pz as (select peptide, (2 + {_md5k('peptide', 2)})::bigint as charge from p), {_ions('pz')}
             select peptide, charge, count(*) as n, round(min(ion), 4) as least, round(max(ion), 4) as most, round(sum(ion), 2) as total from ions group by peptide, charge""",
-        "ions_distinct": f"{_T}, {_candidates()} select distinct peptide, charge::bigint as charge from cand",
-        "match_score": f"{_T}, {_SCORED} select spec_id, pos, peptide, n_matched, score from sc",
-        "best_per_spectrum": f"{_T}, {_SCORED} select spec_id, pos, peptide, score from sc qualify row_number() over (partition by spec_id order by score desc, pos desc) = 1",
-        "peak_match": f"""{_T}, {_candidates()}, one as (select * from cand where pos = 1), {_ions('one')}, {_PEAKS}
-            select k.spec_id, count(*) as n, sum(intensity) as intensity from k join one using (spec_id)
-            where exists (select 1 from ions i where i.peptide = one.peptide and i.charge = one.charge and abs(k.mz - i.ion) < 2.0) group by k.spec_id""",
-        "match_score_all": f"{_T}, {_SCORED_ALL} select spec_id, pos, peptide, n_matched, score from sc",
-        "best_per_spectrum_all": f"{_T}, {_SCORED_ALL} select spec_id, pos, peptide, score from sc qualify row_number() over (partition by spec_id order by score desc, pos desc) = 1",
-        "peak_match_all": f"""{_T}, {_DEALT}, {_ions('cand')}, {_PEAKS}
+        "ions_distinct": f"{_T}, {_CANDIDATES} select distinct peptide, charge::bigint as charge from cand",
+        **dict.fromkeys(("match_score", "match_score_all"), f"{_T}, {_SCORED} select spec_id, pos, peptide, n_matched, score from sc"),
+        **dict.fromkeys(("best_per_spectrum", "best_per_spectrum_all"), f"{_T}, {_SCORED} select spec_id, pos, peptide, score from sc qualify row_number() over (partition by spec_id order by score desc, pos desc) = 1"),
+        "best_three": f"{_T}, {_SCORED} select spec_id, row_number() over (partition by spec_id order by score desc, pos desc) as rank, pos, peptide, score from sc qualify rank <= 3",
+        **dict.fromkeys(
+            ("peak_match", "peak_match_all"),
+            f"""{_T}, {_CANDIDATES}, {_ions('cand')}, {_PEAKS}
             select k.spec_id, c.peptide, count(*) as n, sum(intensity) as intensity from k join cand c using (spec_id)
             where exists (select 1 from ions i where i.peptide = c.peptide and i.charge = c.charge and abs(k.mz - i.ion) < 2.0) group by all""",
-        "accession_join_all": f"""{_T}, {_DEALT} select spec_id, cand.peptide as best_peptide, accessions from cand
+        ),
+        **dict.fromkeys(
+            ("accession_join", "accession_join_all"),
+            f"""{_T}, {_CANDIDATES} select spec_id, cand.peptide as best_peptide, accessions from cand
             join (select peptide, string_agg(accession, ',' order by accession) as accessions from t group by peptide) a using (peptide)""",
+        ),
         "score_transform": """with v as (select o_orderkey as psm_id, (floor(o_totalprice / 1000)::bigint % 12 - 2)::double as raw from orders)
             select psm_id, raw, case when raw < -1 then 'nan' when raw = -1 then 'inf' else 'number' end as kind, case when raw > -1 then round(-ln(case when raw > -1 then raw + 1 else 1 end), 6) + 0.0 end as score from v""",
         "fdr_qvalues": f"with {_PSMS}, {_q('y')} select score, n_target, n_decoy, round(q, 6) as q from q",
         "fdr_filter": f"with {_PSMS}, {_q('y')} select psm_id, y.score, round(q.q, 6) as q from y join q using (score) where q.q <= 0.01 and not is_decoy",
-        "identified_peptides": f"with {_PSMS}, {_q('y')} select count(distinct y.score) as n_scores, count(*) as n from y join q using (score) where q.q <= 0.01 and not is_decoy",
-        "accession_join": f"""{_T}, {_candidates()} select spec_id, cand.peptide as best_peptide, accessions from cand
-            join (select peptide, string_agg(accession, ',' order by accession) as accessions from t group by peptide) a using (peptide) where pos = 1""",
+        "identified_peptides": f"with {_PSMS}, {_q('y')} select count(distinct o.o_custkey) as n_peptides, count(*) as n from y join q using (score) join orders o on o.o_orderkey = y.psm_id where q.q <= 0.01 and not is_decoy",
         "pin_export": f"""with {_RESULTS} select raw_file, raw_file || '_' || index || '_' || index || '_' || charge as "SpecId", case when best_is_decoy then -1 else 1 end as "Label", scan as "ScanNr", "precursorMZ" as "ExpMass",
             1 as rank, best_score, best_distance, pepmass, delta_mass, length(best_peptide)::int as peptide_length, {', '.join(f'(charge = {z})::int as charge{z}' for z in (2, 3, 4, 5))},
             'X.' || best_peptide || '.X' as "Peptide", 'PROTEIN_0' as "Proteins" from r""",
@@ -195,5 +190,5 @@ def sql() -> dict[str, str]:
 
 
 def _profile() -> str:
-    return """d as (select delta_mass as d from x where abs(delta_mass) > 0.1 and abs(delta_mass) < 200), l as (select min(d) as lo, (max(d) - min(d)) / 1000 as w from d),
-    h as (select least(999, floor((d - lo) / w)::int)::bigint as bin, round(max(lo) + (least(999, floor((d - lo) / w)::int) + 0.5) * max(w), 8) as center, count(*) as n from d, l group by least(999, floor((d - lo) / w)::int))"""
+    return """d as (select delta_mass as d from x where abs(delta_mass) > 0.1 and abs(delta_mass) < 200), l as (select min(d) as lo, (max(d) - min(d)) / 10000 as w from d),
+    h as (select least(9999, floor((d - lo) / w)::int)::bigint as bin, round(max(lo) + (least(9999, floor((d - lo) / w)::int) + 0.5) * max(w), 8) as center, count(*) as n from d, l group by least(9999, floor((d - lo) / w)::int))"""

@@ -22,6 +22,7 @@ def build_database(proteins: DataFrame, config: SearchConfig) -> tuple[DataFrame
     )
     targets = digest.digest(proteins, **how)
     decoys = digest.digest(digest.reverse_proteins(proteins), **how)
+    digest.check_size(targets.select("peptide").distinct(), config.max_database_size)
     db = digest.search_database(targets, decoys).withColumn("mass", chemistry.peptide_mass(F.col("peptide")))
     return db.filter("mass is not null"), digest.protein_map(targets)
 
@@ -46,14 +47,18 @@ def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: em
     within = db.filter(F.col("mass").between(config.min_peptide_mass, config.max_peptide_mass))
     vectors = embedder.peptides(within).select(F.xxhash64("peptide", "is_decoy").alias("id"), "peptide", "embedding", "mass", fitted.ordinal(F.col("mass")).alias("bucket"), "is_decoy").persist()
     queries = embedder.spectra(spectra).select(F.col("spec_id").alias("id"), "embedding", F.col("pepmass").alias("mass"), fitted.ordinal(F.col("pepmass")).alias("bucket")).persist()
-    found = knn.hybrid(knn.knn(queries, vectors, config.k, "narrow"), knn.knn(queries, vectors, config.k, "open"), config.k)
+    if getattr(embedder, "unit_length", False):
+        narrow = knn.knn_narrow_pruned(queries, vectors, config.k, config.narrow_radius)
+    else:
+        narrow = knn.knn(queries, vectors, config.k, "narrow")
+    found = knn.hybrid(narrow, knn.knn(queries, vectors, config.k, "open"), config.k)
     names = vectors.select(F.col("id").alias("db_id"), "peptide")
     return found.join(names, "db_id").select(F.col("query_id").alias("spec_id"), "pos", "peptide", "distance", "is_decoy")
 
 
 def rescore(spectra: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:
     """The best candidate of each spectrum, with masses."""
-    scored = match.score_candidates(spectra.select("spec_id", "charge", "peaks"), candidates, config.tolerance_dalton, config.min_matching_peaks, config.max_n_peaks)
+    scored = match.score_candidates(spectra.select("spec_id", "charge", "peaks"), candidates, config.tolerance_dalton, config.min_matching_peaks, config.max_n_peaks, config.max_n_fragments)
     best = match.best_per_spectrum(scored).select("spec_id", F.col("is_decoy").alias("best_is_decoy"), F.col("distance").alias("best_distance"), F.col("score").alias("best_score"), F.col("peptide").alias("best_peptide"))
     out = spectra.join(best, "spec_id").withColumn("peptide_mass", chemistry.peptide_mass(F.col("best_peptide")))
     return out.withColumn("delta_mass", F.col("pepmass") - F.col("peptide_mass"))
@@ -69,7 +74,7 @@ def accept(scored: DataFrame, protein_map: DataFrame, config: SearchConfig) -> D
 
 def run(spark: SparkSession, config: SearchConfig, embedder: embed.Embedder | None = None) -> DataFrame:
     """From files to accepted identifications; each stage is written to the results folder."""
-    fasta_path, raws = config.inputs()
+    fasta_path, raws = config.inputs(spark)
     proteins = fasta.read_fasta(spark, fasta_path)
     db, protein_map = build_database(proteins, config)
     out = config.results_dir

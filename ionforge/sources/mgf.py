@@ -10,11 +10,17 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """(raw_file, index, scan, precursorMZ, charge, peaks) of every spectrum.
 
     ``index`` counts a file's spectra from 1 in their order, by the position of
-    their end markers.  A spectrum without m/z or charge has nulls there.
+    their end markers: within each block that the reader takes, in order, and
+    behind the spectra of the file's blocks before, which are counted first.  A
+    spectrum without m/z or charge has nulls there.
     """
-    raw = spark.read.text(path, lineSep="END IONS").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path, lineSep="END IONS").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     raw = raw.filter(F.col("value").contains("BEGIN IONS"))
-    raw = raw.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
+    counts = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("path", "block", F.coalesce(earlier, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
+    raw = raw.withColumn("own", own).join(F.broadcast(before), ["path", "block"]).withColumn("index", (F.col("before") + F.col("own")).cast("int"))
 
     def field(name: str):
         return F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^\s*{name}=(.*)$", 1)), F.lit(""))

@@ -18,8 +18,9 @@ corpus: bins that look alike are handled as one class with a multiplicity.
 
 Defined results: one row per piece.  A document without tokens (null or empty
 text) has one row with n_tokens 0 and null bin_id.  Repeated rows are packed
-one by one; ties are broken by id and piece, so results do not depend on the
-partitions.  Null ids are allowed.  An empty table gives an empty result.
+one by one; pieces of a length are ranked by a hash of id, piece and length,
+dealt into parts of about ``PART_ROWS`` by it, and within a part by id and piece,
+so results do not depend on the partitions.  Null ids are allowed.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from .common import SPACE, written
 LENGTHS = (1024, 2048, 4096)
 #: What opening a bin costs besides its tokens.
 BIN_COST = 32
-#: Pieces that one window ranks, about; the number of parts is bounded.
-PART_ROWS = 50_000
+#: Pieces that one window ranks, about; the number of parts is bounded, so with very many pieces a window ranks more.
+PART_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -122,10 +123,7 @@ def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_
     full = pieces.filter("length > 0").join(F.broadcast(parts), "length")
     full = full.withColumn("part", F.pmod(F.xxhash64("id", "piece", "n_tokens"), F.col("parts")).cast("int")).drop("parts")
     offsets, before = [], {}
-    if any(m > scale for m in hist.values()):
-        counts = sorted((r["length"], r["part"], r["n"]) for r in full.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect())
-    else:
-        counts = [(k, 0, m) for k, m in hist.items()]
+    counts = sorted((r["length"], r["part"], r["n"]) for r in full.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect())
     for length, part, m in counts:
         offsets.append((length, part, before.get(length, 0)))
         before[length] = before.get(length, 0) + m

@@ -13,10 +13,12 @@ combined.
 The model is fitted on at most ``fit_rows`` labelled rows, those with the
 smallest hash of the id; everything else covers all rows.
 
-Defined results: null or empty text has the features of an empty text; a null
-site is a site of its own; repeated rows are scored one by one and all count;
-an empty table gives an empty result; without labels of both classes the
-evidence is a fixed rule on the share of odd bytes.  Extra columns are ignored.
+Defined results: null or empty text has the features of an empty text; null
+and empty hosts are one host, and so are such paths; repeated rows are scored
+one by one and all count; an id labelled both ways counts as good; null ids are
+carried; an empty table gives an empty result; without labels of both classes
+the evidence is a fixed rule on the share of odd bytes.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations

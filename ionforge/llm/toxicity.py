@@ -14,8 +14,10 @@ the clean documents' random and worst windows, first by the embeddings'
 evidence and then by the network.
 
 Defined results: a text without words scores 0; repeated rows are scored one
-by one; null ids are carried; an empty table gives an empty result; without
-labels of both classes every score is 0.  Extra columns are ignored.
+by one; of labelled ids that several texts have, the first text in order is
+learnt from; an id labelled both ways counts as toxic; null ids are carried; an
+empty table gives an empty result; without labels of both classes every score
+is 0.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Words, mixed, spread, with_workers
+from .common import LETTERS, Words, mixed, sliced, spread, with_workers
 
 FIT_ROWS = 1200
 WINDOW = 32
@@ -361,7 +363,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: i
         picked = some if picked is None else picked.unionByName(some)
     # at most 2 * fit_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    return rows.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -380,7 +382,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         net = sent.value
-        for b in batches:
+        for b in sliced(batches):
             s = np.zeros(b.num_rows) if net is None else net.scores(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 

@@ -85,7 +85,12 @@ def parse(data: bytes) -> dict:
 
 
 def archive(records: list[bytes]) -> bytes:
-    """A whole .warc.zst file."""
+    """A whole .warc.zst file.
+
+    The dictionary is learnt from the first 128 KiB of about TRAINING_BYTES of
+    its records; the records themselves are written whole.  Where there are too
+    few of them to learn from, the first record's bytes are the dictionary.
+    """
     samples, n = [], 0
     for r in records[:: max(1, sum(map(len, records)) // TRAINING_BYTES)]:
         samples.append(r[: 128 << 10])

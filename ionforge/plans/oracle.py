@@ -11,6 +11,18 @@ _CUT = """string_split(rtrim(replace(replace(replace(replace(
     regexp_replace(sequence, '([KR])', '\\1|', 'g'), 'K|P', 'KP'), 'R|P', 'RP'), 'WKP', 'WK|P'), 'MRP', 'MR|P'), '|'), '|')"""
 
 
+#: Cuts by enzyme, marked and split: behind a letter, before one, or between all.
+_CUTS = {
+    "trypsin": _CUT,
+    "lysc": "string_split(replace(sequence, 'K', 'K|'), '|')",
+    "argc": "string_split(replace(sequence, 'R', 'R|'), '|')",
+    "aspn": "string_split(replace(sequence, 'D', '|D'), '|')",
+    "chymotrypsin": "string_split(regexp_replace(regexp_replace(sequence, '([FYW])', '\\1|', 'g'), '([FYW])[|]P', '\\1P', 'g'), '|')",
+    "gluc": "string_split(replace(sequence, 'E', 'E|'), '|')",
+    "nonspecific": "string_split(sequence, '')",
+}
+
+
 def _peptides(name: str, source: str, missed: int = 0, low: int = 7, high: int = 42) -> str:
     runs = " union all ".join(f"select accession, unnest(list_transform(range(1, len(f) - {k - 1}), lambda i: array_to_string(f[i:i + {k}], ''))) as peptide from {name}_f" for k in range(missed + 1))
     return f"""{name}_f as (select accession, {_CUT} as f from {source}),
@@ -116,6 +128,16 @@ def sql() -> dict[str, str]:
         "target_decoy_union": f"{_TD} select distinct peptide, false as is_decoy from t union all select peptide, true from (select peptide from r except select peptide from t)",
         "database_sizes": f"""{_TD}, a as (select distinct peptide from t), b as (select distinct peptide from r), c as (select peptide from a intersect select peptide from b)
             select (select count(*) from a) as n_target, (select count(*) from b) as n_decoy, (select count(*) from c) as n_shared, (select count(*) from b) - (select count(*) from c) as n_kept""",
+        "header_parse": """with c as (select c_custkey as id, c_name as name, c_mktsegment as segment from customer)
+            select id, 'uniprot' as kind, string_split('sp|P' || id || '|' || name, ' ')[1] as accession, segment || ' one' as species, name || ' OS=' || segment || ' one' as protein from c
+            union all select id, 'ncbi', 'NP_' || id, segment, name || ' like' from c
+            union all select id, 'generic', string_split(name, ' ')[1], null, ' ' || name || ' ' || segment from c""",
+        "enzyme_fragments": f"""with {_PROTEINS}, r as ({" union all ".join(f"select accession, '{k}' as enzyme, {v} as f from proteins" for k, v in _CUTS.items())})
+            select accession, enzyme, len(list_filter(f, lambda x: x <> '')) as n, coalesce(list_sum(list_transform(f, lambda x: length(x)::bigint * length(x))), 0)::bigint as squares from r""",
+        "mgf_fields": f"""with {_SPECTRA}, {_PEAKS}
+            select s.spec_id, s.spec_id::int as scan, round(precursor_mz, 6) as precursor_mz, case when s.spec_id % 7 <> 0 then charge end as charge, count(*) as n_peaks, sum(round(mz * intensity * 5000)::bigint)::bigint as total
+            from s join k using (spec_id) group by all""",
+        "usi_modifications": """with n as (select p_partkey, case when p_partkey % 3 = 0 then p_name else 'PEP[' || p_brand || ']TIDE' end as name, case when p_partkey % 3 = 0 then 'unmod.' else p_brand end as modification from part) select * from n""",
         "peptide_pad": f"{_T} select peptide, rpad(peptide, 42, '_') as padded from p",
         "peptide_encode": f"{_T} select peptide, array_to_string(list_transform(string_split(rpad(peptide, 42, '_'), ''), lambda c: instr('{ALPHABET}', c) - 1), ',') as ids from p",
         "peptide_mass": f"{_T} select peptide, round({_mass('peptide')}, 6) as mass from p",

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import buckets, chemistry, encode, peaks, vectors
+from ..functions.constants import ENZYMES
 from ..operators import digest, embed, fdr, knn, match, report, sample
+from ..sources import mgf, usi
 from . import bridge, pipeline
 from .config import SearchConfig
 from .oracle import sql as _sql
@@ -90,6 +92,33 @@ def database_sizes(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("t").alias("n_target"), F.count("r").alias("n_decoy"), F.count(F.col("t") + F.col("r")).alias("n_shared"), (F.count("r") - F.count(F.col("t") + F.col("r"))).alias("n_kept"))
 
 
+@query
+def header_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Accession, species and protein of headers in three conventions, made of customers."""
+    c = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    key = F.col("id").cast("string")
+    kinds = {
+        "uniprot": F.concat(F.lit("sp|P"), key, F.lit("|"), "name", F.lit(" OS="), "segment", F.lit(" one OX="), key, F.lit(" GN=x")),
+        "ncbi": F.concat(F.lit("NP_"), key, F.lit(" "), "name", F.lit(" like ["), "segment", F.lit("]")),
+        "generic": F.concat(F.lit(" "), "name", F.lit(" "), "segment"),
+    }
+    parts = []
+    for kind, header in kinds.items():
+        h = c.select("id", F.lit(kind).alias("kind"), header.alias("header"))
+        parts.append(h.select("id", "kind", digest.accession(F.col("header")).alias("accession"), digest.parse_header(F.col("header"), kind).alias("p")).select("id", "kind", "accession", "p.species", "p.protein"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def enzyme_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of each protein by each enzyme's rule: their number, and their lengths' sum of squares."""
+    p = bridge.proteins(spark, d)
+    kinds = F.array(*(F.struct(F.lit(name).alias("enzyme"), digest.fragments(F.col("sequence"), name).alias("f")) for name in sorted(ENZYMES)))
+    e = p.select("accession", F.explode(kinds).alias("e")).select("accession", "e.enzyme", "e.f")
+    squares = F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + F.length(x).cast("long") * F.length(x))
+    return e.select("accession", "enzyme", F.size("f").cast("long").alias("n"), squares.alias("squares"))
+
+
 # --------------------------------------------------------- peptides and masses
 
 
@@ -181,6 +210,27 @@ def trim_peaks(spark: SparkSession, d: str) -> DataFrame:
     return e.select("spec_id", "pos", _r(F.col("p.mz")).alias("mz"), F.col("p.intensity").alias("intensity"))
 
 
+@query
+def mgf_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What is read back from spectra written as text: of odd ones the scan stands in the title."""
+    s = bridge.spectra(spark, d).join(bridge.peak_lists(spark, d), "spec_id")
+    key = F.col("spec_id").cast("string")
+    scan = F.when(F.col("spec_id") % 2 == 1, F.concat(F.lit("TITLE=raw.one."), key)).otherwise(F.concat(F.lit("TITLE=x\nSCANS="), key))
+    charge = F.when(F.col("spec_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("CHARGE="), F.col("charge").cast("string"), F.lit("+\n")))
+    lines = F.array_join(F.transform("peaks", lambda p: F.concat_ws(" ", p.mz.cast("string"), p.intensity.cast("string"))), "\r\n")
+    text = F.concat(F.lit("BEGIN IONS\n"), scan, F.lit("\nPEPMASS="), F.col("precursor_mz").cast("string"), F.lit(" 100.0\n"), charge, lines, F.lit("\n"))
+    read = mgf.parse(s.select("spec_id", text.alias("value")))
+    total = F.aggregate("peaks", F.lit(0).cast("long"), lambda a, p: a + F.round(p.mz * p.intensity * 5000).cast("long"))
+    return read.select("spec_id", "scan", _r(F.col("precursorMZ")).alias("precursor_mz"), "charge", F.size("peaks").cast("long").alias("n_peaks"), total.alias("total"))
+
+
+@query
+def usi_modifications(spark: SparkSession, d: str) -> DataFrame:
+    """The modification of peptide names made of parts: every third has none."""
+    p = bridge.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("PEP["), "p_brand", F.lit("]TIDE"))).alias("name"))
+    return p.select("p_partkey", "name", usi.modification(F.col("name")).alias("modification"))
+
+
 # -------------------------------------------------------------------- buckets
 
 

@@ -22,6 +22,12 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
     raw = raw.withColumn("own", own).join(F.broadcast(before), ["path", "block"]).withColumn("index", (F.col("before") + F.col("own")).cast("int"))
 
+    return parse(raw).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("raw_file"), "index", "scan", "precursorMZ", "charge", "peaks")
+
+
+def parse(raw: DataFrame) -> DataFrame:
+    """Adds scan, precursorMZ, charge and peaks to rows with a spectrum's text as ``value``."""
+
     def field(name: str):
         return F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^\s*{name}=(.*)$", 1)), F.lit(""))
 
@@ -29,12 +35,11 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     peaks = F.transform(lines, lambda x: F.split(F.trim(x), r"\s+"))
     peaks = F.transform(peaks, lambda p: F.struct(p[0].cast("double").alias("mz"), F.coalesce(F.get(p, F.lit(1)).cast("double"), F.lit(0.0)).alias("intensity")))
     title = F.element_at(F.split(field("TITLE"), r"\."), -1)
-    scan = F.coalesce(field("SCANS").try_cast("int"), title.try_cast("int"))
-    return raw.select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("raw_file"),
-        "index",
-        scan.alias("scan"),
-        F.regexp_extract(field("PEPMASS"), r"^(\S+)", 1).try_cast("double").alias("precursorMZ"),
-        F.regexp_extract(field("CHARGE"), r"(\d+)", 1).try_cast("int").alias("charge"),
-        peaks.alias("peaks"),
+    return raw.withColumns(
+        {
+            "scan": F.coalesce(field("SCANS").try_cast("int"), title.try_cast("int")),
+            "precursorMZ": F.regexp_extract(field("PEPMASS"), r"^(\S+)", 1).try_cast("double"),
+            "charge": F.regexp_extract(field("CHARGE"), r"(\d+)", 1).try_cast("int"),
+            "peaks": peaks,
+        }
     )

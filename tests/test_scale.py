@@ -74,7 +74,7 @@ def test_spectra_of_a_split_file_are_numbered(spark, tmp_path):
         assert spark.read.text(str(tmp_path), lineSep="END IONS").rdd.getNumPartitions() > 4
         got = {}
         for r in rows.collect():
-            got.setdefault(r.raw_file, []).append((r.index, r.scan))
+            got.setdefault(r.raw_file, []).append((r["index"], r["scan"]))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {k: sorted(v) for k, v in got.items()} == {k: [(i, i) for i in range(1, 301)] for k in ("a", "b.mgf")}

@@ -219,8 +219,7 @@ def test_search_finds_what_a_search_of_all_pairs_finds(spark):
         return False
 
     slow = {(i, k) for i, t in texts for k, x in items if held(t.split(), x.split())}
-    assert slow <= every and {x for x in every if x[0] != x[1]} <= {x for x in every}
-    assert found <= every
+    assert slow <= every and found <= every
     # measured recall of paraphrases against the search of all pairs
     assert len(found & slow) >= 0.97 * len(slow) and len(slow) > 40
     assert not any(i >= 1000 for i, _ in found)

@@ -107,16 +107,42 @@ def test_embeddings_of_a_batch_equal_single_ones(spark):
     assert {r.peptide: list(r.embedding) for r in e.peptides(df).collect()} == want
 
 
-def test_exported_networks(spark, tmp_path):
-    onnx = pytest.importorskip("onnx", reason="makes the model file")
-    from onnx import TensorProto, helper
+def onnx_file(path, kind: int, shape: list[int], axes: list[int]) -> None:
+    """A network that takes the mean over ``axes``, written field by field: (number, value) of a message, an int as varint, the rest by length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(*pairs) -> bytes:
+        out = b""
+        for number, value in pairs:
+            if isinstance(value, int):
+                out += varint(number << 3) + varint(value)
+            else:
+                value = value.encode() if isinstance(value, str) else value
+                out += varint(number << 3 | 2) + varint(len(value)) + value
+        return out
+
+    def tensor(name: str, kind: int, dims: list) -> bytes:
+        size = message(*((1, message((2, d) if isinstance(d, str) else (1, d))) for d in dims))
+        return message((1, name), (2, message((1, message((1, kind), (2, size))))))
+
+    cast = message((1, "x"), (2, "f"), (4, "Cast"), (5, message((1, "to"), (3, 1), (20, 2))))
+    attributes = (message((1, "axes"), *((8, a) for a in axes), (20, 7)), message((1, "keepdims"), (3, 0), (20, 2)))
+    mean = message((1, "f"), (2, "y"), (4, "ReduceMean"), *((5, a) for a in attributes))
+    left = [d for i, d in enumerate(["n", *shape]) if i not in axes]
+    graph = message((1, cast), (1, mean), (2, "g"), (11, tensor("x", kind, ["n", *shape])), (12, tensor("y", 1, left)))
+    path.write_bytes(message((1, 7), (7, graph), (8, message((1, ""), (2, 13)))))
 
-    def model(path, kind, shape, axes):
-        x, y = helper.make_tensor_value_info("x", kind, ["n", *shape]), helper.make_tensor_value_info("y", TensorProto.FLOAT, None)
-        nodes = [helper.make_node("Cast", ["x"], ["f"], to=TensorProto.FLOAT), helper.make_node("ReduceMean", ["f"], ["y"], axes=axes, keepdims=0)]
-        onnx.save(helper.make_model(helper.make_graph(nodes, "g", [x], [y]), opset_imports=[helper.make_opsetid("", 13)]), path)
 
-    model(str(tmp_path / "s.onnx"), TensorProto.FLOAT, [100, 2], [1])
+def test_exported_networks(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    float_, int64 = 1, 7
+    onnx_file(tmp_path / "s.onnx", float_, [100, 2], [1])
+    onnx_file(tmp_path / "p.onnx", int64, [1, 42], [1])
     e = embed.ExportedEmbedder("", str(tmp_path / "s.onnx"))
     df = spark.createDataFrame([(1, [(100.0, 1.0), (300.0, 3.0)]), (2, [])], "id int, peaks array<struct<mz:double,intensity:double>>")
     assert {r.id: [round(x, 4) for x in r.embedding] for r in e.spectra(df).collect()} == {1: [4.0, 0.04], 2: [0.0, 0.0]}

@@ -13,30 +13,28 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
 
     Each round gives every node the least label among its own and its
     neighbours', then replaces labels by their labels' labels (pointer
-    jumping), so rounds grow with the logarithm of the longest path.  Labels
-    are written tables; the joins have plain exchanges on both sides, which
-    adaptive execution splits where a node has very many links.  ``most`` bounds
-    the nodes, if it is known.
+    jumping), so rounds grow with the logarithm of the longest path.  Links are
+    written in both directions, so a round joins them once, and labels with the
+    ones before, so that a look at them tells whether any changed.  The joins
+    have plain exchanges on both sides, which adaptive execution splits where a
+    node has very many links.  ``most`` bounds the nodes, if it is known.
     """
-    links = written(links.select("a", "b").filter("a != b").distinct(), "links", most)
-    first = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).unionByName(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m")))
-    labels = written(first.groupBy("node").agg(F.least(F.col("node"), F.min("m")).alias("label")), "labels", most)
+    pairs = links.select("a", "b").filter("a != b").distinct()
+    ends = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links", None if most is None else 2 * most)
+    labels = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", most)
     while True:
-        near = (
-            links.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-            .unionByName(links.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label"))
-            .unionByName(labels.select("node", "label"))
-        )
-        low = written(near.groupBy("node").agg(F.min("label").alias("label")), "labels", most)
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        near = ends.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        low = written(own.unionByName(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels", most)
         up = low.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = written(low.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels", most)
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count()
+        jumped = written(low.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), "old"), "labels", most)
+        changed = not jumped.filter("label != old").isEmpty()
         drop_written(low)
         drop_written(labels)
         labels = jumped
         if not changed:
-            drop_written(links)
-            return labels.withColumnRenamed("label", "component")
+            drop_written(ends)
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def relabelled(labels: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:

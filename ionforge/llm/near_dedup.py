@@ -287,14 +287,14 @@ def _links(keys: DataFrame, nodes: DataFrame, texts_of, n: int, percent: int, co
     tested = written(_confirm(written(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), "near-pairs", count), texts, n, percent), "near-tested", count, TEXT_ROWS)
     labels = components(tested.filter("linked"), count)
     open_ = _open(members, labels, rows)
-    if open_.limit(1).count():
+    if not open_.isEmpty():
         hubs = open_.filter("node = hub").select("key", F.col("component").alias("other"))
         pairs = open_.join(hubs, "key").filter("component != other").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs", rows)
         again = written(_confirm(pairs, texts, n, percent), "near-tested", rows, TEXT_ROWS)
         labels = relabelled(labels, again.filter("linked"), count)
         open_ = _open(open_.drop("component"), labels, rows)
-        if open_.limit(1).count():
+        if not open_.isEmpty():
             tested = tested.unionByName(again).select("a", "b")
             pairs = written(_rest(open_, nodes, texts, n, percent, rows).join(tested, ["a", "b"], "left_anti"), "near-pairs", rows, TEXT_ROWS)
             last = written(_confirm(pairs, texts, n, percent), "near-tested", rows, TEXT_ROWS)

@@ -32,7 +32,8 @@ def first_of_groups(docs: DataFrame, groups_of, name: str) -> DataFrame:
     """Of each group the row of the smallest doc_id, nulls last.
 
     ``groups_of`` takes the numbered rows and the number's name, and gives
-    (that name, group).  The numbers are written, so that they stay.
+    (that name, group); a row that it leaves out stays.  The numbers are written,
+    so that they stay.
     """
     (row,) = free_names(docs, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), f"{name}-rows")
@@ -49,7 +50,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id stays only where the group has no other.  A null text counts as
     an empty one.
     """
-    return first_of_groups(docs, lambda rows, row: exact_dedup.exact_groups(rows, id_col=row).select(row, F.col("keep_id").alias("group")), "pipeline-exact")
+    return first_of_groups(docs, lambda rows, row: exact_dedup.exact_groups(rows, id_col=row).filter("group_size > 1").select(row, F.col("keep_id").alias("group")), "pipeline-exact")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("digest", F.xxhash64("t").alias("second"), F.octet_length("t").alias("size"), "keep_id", "group_size")
     )
     groups = written(groups, "exact-groups")
-    clash = groups.groupBy("digest", "second", "size").count().filter("count > 1").limit(1).count()
-    if clash:
+    if not groups.groupBy("digest", "second", "size").count().filter("count > 1").isEmpty():
         raise ValueError("different texts share a label")
     found = labelled.join(groups.filter("group_size > 1"), ["digest", "second", "size"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))

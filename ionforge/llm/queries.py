@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, near_dedup, packing, pii, quality, sharding, toxicity, warc
+from . import decontaminate, exact_dedup, hard_negatives, license_scan, near_dedup, packing, pii, quality, runs, secret_scan, sharding, toxicity, warc
 
 #: The key of the registered query; a deployment passes its own to ``pii.pseudonymise``.
 PII_KEY = "registered-query"
@@ -66,8 +66,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "contaminated", "n_items", "item_ids", F.col("best.item_id").alias("item_id"), F.col("best.lcs").alias("lcs"), F.col("best.answer").alias("answer"), F.col("best.cosine").alias("cosine"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_warc_dictionary, op6_ring_sharding, op7_exact_dedup, op8_toxicity, op9_pii_pseudonyms, op10_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_warc_dictionary, op6_ring_sharding, op7_exact_dedup, op8_toxicity, op9_pii_pseudonyms, op10_decontamination, op11_hard_negatives, op12_secret_scan, op13_periodic_runs)}
 
 
 #: A text in DuckDB with A-Z lower-cased.
@@ -110,11 +122,44 @@ _NEAR_SQL = f"""
     from d join m using (doc_id) left join n using (doc_id)"""
 
 
+def _secrets_sql() -> str:
+    """Places as sums of the lengths of the matches and of what stands between them."""
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        long = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+        parts.append(f"""
+            select row, '{r.kind}' as kind, {k} as rank, {str(r.base).lower()} as base, {long("m[1 : i - 1]")} + {long("p[1 : i]")} as s, s + length(m[i]) as e
+            from (select row, m, g, p, unnest(range(1, len(m) + 1)) as i from (
+                select row, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {r.group}) as g, string_split_regex(t, '{pattern}') as p from d))
+            where length(g[i]) >= {r.least}""")
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.RULES if r.base)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in secret_scan.RULES if r.base)
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' order by s, rank)"
+    return f"""
+        with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+             h as ({" union all ".join(parts)}),
+             g as (select row, {counts}, {listed} filter (where base) as b, {listed} as spans from h group by row)
+        select doc_id, {zeros}, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (row)"""
+
+
+_NEGATIVES_SQL = """
+    with r as (select vec_id as id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+               from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+         s as (select a.id as a, b.id as b, a.label = b.label as same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score from r a join r b on a.id <> b.id where a.id % 100 = 0),
+         p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+         n as (select p.a, p.b, p.score as ps, s.b as c, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+               from p join s on s.a = p.a where not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score qualify rank <= 10)
+    select a as anchor_id, b as positive_id, rank::int as rank, c as negative_id, ps as positive_score, ns as negative_score from n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express in full."""
     return {
         "op3_license_scan": _licence_sql(),
         "op4_minhash_near_dedup": _NEAR_SQL,
+        "op11_hard_negatives": _NEGATIVES_SQL,
+        "op12_secret_scan": _secrets_sql(),
         "op7_exact_dedup": f"""
             with t as (select doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') as n from documents)
             select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,

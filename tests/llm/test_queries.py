@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return c
 

@@ -7,8 +7,9 @@ with, and ``found`` the places.  :func:`update` scans only blobs for rules that
 has back to every row with such a text, whether its blob was scanned now or
 years ago.  A rule whose version changes is scanned anew, and only that rule.
 
-Only DataFrame functions are used.  Texts are never shuffled: which row stands
-for a blob is decided on ids and digests, and a text is read where it lies.  A
+Only DataFrame functions are used.  Which row stands for a blob is decided on
+ids and digests, and a text is read where it lies, but for rows whose digest
+falls in the same of 2**20 buckets as one that need not be read.  A
 place is the running sum of the lengths of what ``split`` leaves between the
 matches and of the matches, in blocks, so that the work grows with the text
 and not with its square.  Found places are joined by digest, and only to rows

@@ -41,6 +41,8 @@ class SearchConfig:
     max_charge: int = 5
     peptide_maximum_length: int = 42
     max_database_size: int = 100_000_000
+    #: Without it the narrow search alone gives candidates, k of them.
+    open_search: bool = True
 
     @classmethod
     def from_mapping(cls, values: dict) -> SearchConfig:

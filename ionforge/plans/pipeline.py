@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import buckets, chemistry, peaks
-from ..operators import digest, embed, fdr, knn, match
+from ..operators import digest, embed, fdr, knn, match, towers
 from ..sources import fasta, mgf, store
 from .config import SearchConfig
 
@@ -37,7 +37,7 @@ def prepare_spectra(spectra: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: embed.Embedder | None = None) -> DataFrame:
-    """Each spectrum (spec_id) with its up to 2k candidates, as rows (spec_id, pos, peptide, distance, is_decoy).
+    """Each spectrum (spec_id) with its up to 2k candidates, or k without the open search, as rows (spec_id, pos, peptide, distance, is_decoy).
 
     Embeddings are used by both searches, so they are persisted (and computed
     anew where an executor is lost).
@@ -51,7 +51,7 @@ def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: em
         narrow = knn.knn_narrow_pruned(queries, vectors, config.k, config.narrow_radius)
     else:
         narrow = knn.knn(queries, vectors, config.k, "narrow")
-    found = knn.hybrid(narrow, knn.knn(queries, vectors, config.k, "open"), config.k)
+    found = knn.hybrid(narrow, knn.knn_open_pivots(queries, vectors, config.k), config.k) if config.open_search else narrow
     names = vectors.select(F.col("id").alias("db_id"), "peptide")
     return found.join(names, "db_id").select(F.col("query_id").alias("spec_id"), "pos", "peptide", "distance", "is_decoy")
 
@@ -72,6 +72,12 @@ def accept(scored: DataFrame, protein_map: DataFrame, config: SearchConfig) -> D
     return fdr.with_accessions(kept, protein_map).orderBy("best_score")
 
 
+def fitted_embedder(spark: SparkSession, config: SearchConfig) -> towers.LinearTowers:
+    """Towers fitted to the identifications that an earlier :func:`run` accepted."""
+    accepted = spark.read.parquet(f"{config.results_dir}/search_results_scored_filtered")
+    return towers.LinearTowers.fit(accepted.select(F.col("best_peptide").alias("peptide"), "peaks"))
+
+
 def run(spark: SparkSession, config: SearchConfig, embedder: embed.Embedder | None = None) -> DataFrame:
     """From files to accepted identifications; each stage is written to the results folder."""
     fasta_path, raws = config.inputs(spark)

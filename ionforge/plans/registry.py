@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, chemistry, encode, peaks, vectors
 from ..functions.constants import ENZYMES
-from ..operators import digest, embed, fdr, knn, match, report, sample
+from ..operators import digest, embed, fdr, knn, match, report, sample, towers
 from ..sources import mgf, usi
 from . import bridge, pipeline
 from .config import SearchConfig
@@ -315,6 +315,13 @@ def knn_open(spark: SparkSession, d: str) -> DataFrame:
     return _near(knn.knn(q, v, K, "open"))
 
 
+@query
+def knn_open_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The open search by distances to pivots, which leaves out parts of the database."""
+    q, v = _sides(spark, d)
+    return _near(knn.knn_open_pivots(q, v, K))
+
+
 @query
 def knn_unsquared(spark: SparkSession, d: str) -> DataFrame:
     q, v = _sides(spark, d)
@@ -530,13 +537,37 @@ def manifold_plane(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------- pipeline
 
 
-@query
-def embed_peptides(spark: SparkSession, d: str) -> DataFrame:
-    e = embed.HashEmbedder().peptides(_distinct(spark, d))
+def _widths(e: DataFrame) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("peptide", F.size("embedding").alias("width"), _r(norm, 4).alias("norm"))
 
 
+@query
+def embed_peptides(spark: SparkSession, d: str) -> DataFrame:
+    return _widths(embed.HashEmbedder().peptides(_distinct(spark, d)))
+
+
+@query
+def embed_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Towers fitted to made spectra of all peptides, and what they make of each peptide."""
+    p = _distinct(spark, d)
+    return _widths(towers.LinearTowers.fit(towers.synthetic_pairs(p)).peptides(p))
+
+
+@query
+def trained_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra of peptides that took no part in fitting, among all peptides: are more found by the towers than by hashes?"""
+    p = _distinct(spark, d).withColumn("held", _k(5) == 0)
+    fitted = towers.LinearTowers.fit(towers.synthetic_pairs(p.filter("not held")))
+    made = towers.synthetic_pairs(p.filter("held"), seed=1)
+    row = lambda df: df.select(F.xxhash64("peptide").alias("id"), "embedding", F.lit(0.0).alias("mass"), F.lit(0).alias("bucket"), F.lit(False).alias("is_decoy"))
+    parts = []
+    for name, e in (("hash", embed.HashEmbedder()), ("towers", fitted)):
+        parts.append(knn.knn(row(e.spectra(made)), row(e.peptides(p.select("peptide"))), K, "open").filter("query_id = db_id").select(F.lit(name).alias("name")))
+    found = parts[0].unionByName(parts[1]).agg(F.count(F.when(F.col("name") == "hash", 1)).alias("by_hash"), F.count(F.when(F.col("name") == "towers", 1)).alias("by_towers"))
+    return p.filter("held").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(found)).select("n", (F.col("by_towers") > F.col("by_hash")).alias("better"))
+
+
 @query
 def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic spectra of the benchmark's peptides, one in three shifted, searched end to end."""

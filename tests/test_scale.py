@@ -34,8 +34,8 @@ def nearest(q, p, k, mode):
 
 
 @pytest.mark.parametrize("mode", ["narrow", "open"])
-@pytest.mark.parametrize("most", [0, 16])
-def test_blocks_meet_parts(spark, monkeypatch, mode, most):
+@pytest.mark.parametrize("most", [1, 16])
+def test_rounds_of_blocks(spark, monkeypatch, mode, most):
     monkeypatch.setattr(knn, "MOST_BROADCAST", most)
     monkeypatch.setattr(knn, "PART", 50)
     q, p = vectors(spark, 40, 1), vectors(spark, 230, 2)
@@ -46,7 +46,10 @@ def test_blocks_meet_parts(spark, monkeypatch, mode, most):
 
 
 @pytest.mark.parametrize("radius", [2.5, 7.0])
-def test_narrow_search_by_masses(spark, radius):
+@pytest.mark.parametrize("size", [7, 5000])
+def test_narrow_search_by_masses(spark, monkeypatch, radius, size):
+    monkeypatch.setattr(knn, "PART", size)
+    monkeypatch.setattr(knn, "BLOCK", size)
     q, p = vectors(spark, 40, 3), vectors(spark, 230, 4)
     got = knn.knn_narrow_pruned(q, p, 5, radius)
     assert {(r.query_id, r.pos, r.db_id) for r in got.collect()} == nearest(q, p, 5, "narrow")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.sample import PRIME, permutation_keys
 from ..functions.constants import ALPHABET, CARBAMIDOMETHYL, HYDROGEN, PROTON, RESIDUE_MASS, WATER, scaled
 
 _PROTEINS = "proteins as (select 'DOC_' || doc_id as accession, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as sequence from documents)"
@@ -112,6 +113,24 @@ _SCORED = f"""{_CANDIDATES}, {_PEAKS},
     sc as (select c.spec_id, c.pos, c.peptide, coalesce(n, 0) as n_matched, round(case when coalesce(n, 0) > 4 then n * total else -coalesce(total, 0) end, 4) + 0.0 as score
            from cand c left join hits using (spec_id, pos, peptide) where c.spec_id in (select spec_id from tp))"""
 
+def _permuted() -> str:
+    """Stacked rows, numbered and permuted, the rounds written out; a number beyond the range is permuted again, up to six times."""
+    steps, last = [], "z"
+    for walk in range(7):
+        cols = ["x as x0", "x0 // b as l0", "x0 % b as r0"]
+        for i, (factor, summand) in enumerate(permutation_keys(7)):
+            v = f"(({'r' if i % 2 == 0 else 'l'}{i} * {factor} + {summand}) % {PRIME})"
+            h = f"(({v} * {v}) % {PRIME})"
+            cols += [f"((l{i} + {h}) % a)::bigint as l{i + 1}", f"r{i} as r{i + 1}"] if i % 2 == 0 else [f"l{i} as l{i + 1}", f"((r{i} + {h}) % b)::bigint as r{i + 1}"]
+        cols.append(f"case when {str(walk > 0).lower()} and x0 < n then x0 else l4 * b + r4 end as y")
+        steps.append(f"w{walk} as (select id, copy, n, a, b, y as x from (select id, copy, n, a, b, {', '.join(cols)} from {last}))")
+        last = f"w{walk}"
+    return f"""with s as (select vec_id as id, unnest([0, 1])::bigint as copy from embeddings),
+        m as (select count(*) as n, floor(sqrt(count(*)))::bigint as f from s), q as (select n, case when f * f < n then f + 1 else f end as a from m),
+        z as (select id, copy, row_number() over (order by copy, id) - 1 as x, n, a, ceil(n / a)::bigint as b from s, q), {', '.join(steps)}
+        select id, copy, x as place from {last}"""
+
+
 def sql() -> dict[str, str]:
     stats = "count(*) as n, sum(length(peptide))::bigint as residues, min(peptide) as first, max(peptide) as last"
     return {
@@ -134,9 +153,7 @@ def sql() -> dict[str, str]:
             union all select id, 'generic', string_split(name, ' ')[1], null, ' ' || name || ' ' || segment from c""",
         "enzyme_fragments": f"""with {_PROTEINS}, r as ({" union all ".join(f"select accession, '{k}' as enzyme, {v} as f from proteins" for k, v in _CUTS.items())})
             select accession, enzyme, len(list_filter(f, lambda x: x <> '')) as n, coalesce(list_sum(list_transform(f, lambda x: length(x)::bigint * length(x))), 0)::bigint as squares from r""",
-        "mgf_fields": f"""with {_SPECTRA}, {_PEAKS}
-            select s.spec_id, s.spec_id::int as scan, round(precursor_mz, 6) as precursor_mz, case when s.spec_id % 7 <> 0 then charge end as charge, count(*) as n_peaks, sum(round(mz * intensity * 5000)::bigint)::bigint as total
-            from s join k using (spec_id) group by all""",
+        "mgf_fields": _mgf(),
         "usi_modifications": """with n as (select p_partkey, case when p_partkey % 3 = 0 then p_name else 'PEP[' || p_brand || ']TIDE' end as name, case when p_partkey % 3 = 0 then 'unmod.' else p_brand end as modification from part) select * from n""",
         "peptide_pad": f"{_T} select peptide, rpad(peptide, 42, '_') as padded from p",
         "peptide_encode": f"{_T} select peptide, array_to_string(list_transform(string_split(rpad(peptide, 42, '_'), ''), lambda c: instr('{ALPHABET}', c) - 1), ',') as ids from p",
@@ -166,6 +183,21 @@ def sql() -> dict[str, str]:
         "knn_narrow": f"with {_BUCKETS}, {_knn('narrow')} select * from n",
         "knn_narrow_pruned": f"with {_BUCKETS}, {_knn('narrow')} select * from n",
         "knn_open": f"with {_BUCKETS}, {_knn('open')} select * from n",
+        "fasta_files": f"with {_PROTEINS} select accession, length(sequence)::bigint as n, md5(sequence) as md5 from proteins",
+        "decoy_files": f"with {_PROTEINS}, {_DECOYS} select accession, length(sequence)::bigint as n, md5(sequence) as md5 from decoys",
+        "map_files": f"{_T} select peptide, count(*) as n, string_agg(accession, ',' order by accession) as accessions from t group by peptide",
+        "pin_files": _pin(),
+        "results_store": f"with {_RESULTS} select raw_file, index, best_peptide from r where raw_file = 'raw0' or raw_file = 'raw1' and index % 2 = 0",
+        **dict.fromkeys(("mgf_files", "mgf_data_source"), f"select scan, precursor_mz, charge, n_peaks, total from ({_mgf()})"),
+        "mass_window": f"{_T} select peptide, round({_mass('peptide')}, 6) as mass from p where {_mass('peptide')} between 1000 and 1200",
+        "bucket_members": f"""with {_BUCKETS}, {_SPECTRA}, m as (select {_PEPMASS} as mass from s where charge = 2 and {_PEPMASS} between 1000 and 1100)
+            select id, bucket::bigint as bucket from b where bucket in (select greatest(0, least(11, floor((m.mass - lo) / w)::int)) from m, lim)""",
+        "sql_cleave": f"with {_PROTEINS}, {_peptides('t', 'proteins', 1)} select accession, peptide from t",
+        "sql_fragments": f"""{_T}, pz as (select peptide, 2::bigint as charge from p), {_ions('pz')}
+            select peptide, count(*) as n, round(min(ion), 4) as least, round(max(ion), 4) as most, round(sum(ion), 2) as total from ions group by peptide""",
+        "search_documents": f"{_T} select count(*) as n, true as recovered from p where {_mass('peptide')} between 500 and 4000",
+        "row_slice": f"with {_SPECTRA}, o as (select *, row_number() over (order by charge, precursor_mz, spec_id) - 1 as k from s) select spec_id, charge, precursor_mz from o where k >= 400 and k < 500",
+        "stacked_shuffle": _permuted(),
         "knn_open_pivots": f"with {_BUCKETS}, {_knn('open')} select * from n",
         "embed_peptides": f"{_T} select peptide, 64::int as width, 1.0::double as norm from p",
         "embed_trained": f"{_T} select peptide, 64::int as width, 1.0::double as norm from p",
@@ -198,9 +230,7 @@ def sql() -> dict[str, str]:
         "fdr_qvalues": f"with {_PSMS}, {_q('y')} select score, n_target, n_decoy, round(q, 6) as q from q",
         "fdr_filter": f"with {_PSMS}, {_q('y')} select psm_id, y.score, round(q.q, 6) as q from y join q using (score) where q.q <= 0.01 and not is_decoy",
         "identified_peptides": f"with {_PSMS}, {_q('y')} select count(distinct o.o_custkey) as n_peptides, count(*) as n from y join q using (score) join orders o on o.o_orderkey = y.psm_id where q.q <= 0.01 and not is_decoy",
-        "pin_export": f"""with {_RESULTS} select raw_file, raw_file || '_' || index || '_' || index || '_' || charge as "SpecId", case when best_is_decoy then -1 else 1 end as "Label", scan as "ScanNr", "precursorMZ" as "ExpMass",
-            1 as rank, best_score, best_distance, pepmass, delta_mass, length(best_peptide)::int as peptide_length, {', '.join(f'(charge = {z})::int as charge{z}' for z in (2, 3, 4, 5))},
-            'X.' || best_peptide || '.X' as "Peptide", 'PROTEIN_0' as "Proteins" from r""",
+        "pin_export": _pin(),
         "charge_onehot": f"with {_RESULTS} select index, {', '.join(f'(charge = {z})::int as charge{z}' for z in (2, 3, 4, 5))} from r",
         "inspect_view": f"with {_RESULTS} select * from r",
         "seeded_sample": f"with {_SPECTRA} select spec_id, charge, precursor_mz from s order by md5('42/' || spec_id), spec_id limit 20",
@@ -218,3 +248,15 @@ def sql() -> dict[str, str]:
 def _profile() -> str:
     return """d as (select delta_mass as d from x where abs(delta_mass) > 0.1 and abs(delta_mass) < 200), l as (select min(d) as lo, (max(d) - min(d)) / 10000 as w from d),
     h as (select least(9999, floor((d - lo) / w)::int)::bigint as bin, round(max(lo) + (least(9999, floor((d - lo) / w)::int) + 0.5) * max(w), 8) as center, count(*) as n from d, l group by least(9999, floor((d - lo) / w)::int))"""
+
+
+def _mgf() -> str:
+    return f"""with {_SPECTRA}, {_PEAKS}
+            select s.spec_id, s.spec_id::int as scan, round(precursor_mz, 6) as precursor_mz, case when s.spec_id % 7 <> 0 then charge end as charge, count(*) as n_peaks, sum(round(mz * intensity * 5000)::bigint)::bigint as total
+            from s join k using (spec_id) group by all"""
+
+
+def _pin() -> str:
+    return f"""with {_RESULTS} select raw_file, raw_file || '_' || index || '_' || index || '_' || charge as "SpecId", case when best_is_decoy then -1 else 1 end as "Label", scan as "ScanNr", "precursorMZ" as "ExpMass",
+            1 as rank, best_score, best_distance, pepmass, delta_mass, length(best_peptide)::int as peptide_length, {', '.join(f'(charge = {z})::int as charge{z}' for z in (2, 3, 4, 5))},
+            'X.' || best_peptide || '.X' as "Peptide", 'PROTEIN_0' as "Proteins" from r"""

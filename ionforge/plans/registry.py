@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import buckets, chemistry, encode, peaks, vectors
+from ..functions import buckets, chemistry, encode, peaks, tables, vectors
 from ..functions.constants import ENZYMES
 from ..operators import digest, embed, fdr, knn, match, report, sample, towers
-from ..sources import mgf, usi
+from ..sources import fasta, mgf, mgf_source, store, usi
 from . import bridge, pipeline
 from .config import SearchConfig
 from .oracle import sql as _sql
@@ -568,15 +568,10 @@ def trained_recall(spark: SparkSession, d: str) -> DataFrame:
     return p.filter("held").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(found)).select("n", (F.col("by_towers") > F.col("by_hash")).alias("better"))
 
 
-@query
-def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic spectra of the benchmark's peptides, one in three shifted, searched end to end."""
-    config = SearchConfig(k=10, max_missed_cleavages=0)
-    proteins = bridge.table(spark, d, "benchmark").select(F.concat(F.lit("ITEM_"), F.col("item_id").cast("string")).alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
-    db, protein_map = pipeline.build_database(proteins, config)
-    db = db.persist()
+def _searched(db: DataFrame, config: SearchConfig, every: int = 1) -> DataFrame:
+    """Synthetic spectra of the target peptides, of which one in ``every`` is shifted if that is over 1, searched and rescored; ``truth`` is the peptide."""
     source = db.filter("not is_decoy and mass between 500 and 4000")
-    shift = F.when(F.pmod(F.crc32("peptide"), F.lit(3)) == 0, F.lit(15.9949)).otherwise(F.lit(0.0))
+    shift = F.when(F.pmod(F.crc32("peptide"), F.lit(every)) == 0, F.lit(15.9949)).otherwise(F.lit(0.0)) if every > 1 else F.lit(0.0)
     ions = chemistry.fragment_ions(F.col("peptide"), F.lit(2))
     made = source.select(
         F.lit("synthetic").alias("raw_file"),
@@ -588,10 +583,153 @@ def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
         F.col("peptide").alias("truth"),
     )
     ready = pipeline.prepare_spectra(made, config).persist()
-    best = pipeline.rescore(ready, pipeline.search(ready, db, config), config)
+    return pipeline.rescore(ready, pipeline.search(ready, db, config), config)
+
+
+@query
+def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic spectra of the benchmark's peptides, one in three shifted, searched end to end."""
+    config = SearchConfig(k=10, max_missed_cleavages=0)
+    proteins = bridge.table(spark, d, "benchmark").select(F.concat(F.lit("ITEM_"), F.col("item_id").cast("string")).alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+    db, protein_map = pipeline.build_database(proteins, config)
+    best = _searched(db.persist(), config, 3)
     return pipeline.accept(best, protein_map, config).select("index", "truth", "best_peptide", _r(F.col("best_score")).alias("best_score"), _r(F.col("delta_mass"), 4).alias("delta_mass"), _r(F.col("q")).alias("q"), F.array_join("accession", ",").alias("accession"))
 
 
+@query
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic spectra of all documents' peptides, searched end to end: is the right peptide the best of at least 95 in 100?"""
+    config = SearchConfig(k=10, max_missed_cleavages=0)
+    db, _ = pipeline.build_database(bridge.proteins(spark, d), config)
+    best = _searched(db.persist(), config)
+    return best.agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("truth") == F.col("best_peptide")).cast("int")) >= 0.95).alias("recovered"))
+
+
+# ------------------------------------------------------- files, written and read
+
+
+def _fasta_file(spark, d) -> str:
+    path = store.scratch(spark, "fasta")
+    store.write_fasta(bridge.proteins(spark, d).select(F.concat("accession", F.lit(" a document")).alias("header"), "sequence"), path)
+    return path
+
+
+def _sequences(df: DataFrame) -> DataFrame:
+    return df.select("accession", F.length("sequence").cast("long").alias("n"), F.md5("sequence").alias("md5"))
+
+
+@query
+def fasta_files(spark: SparkSession, d: str) -> DataFrame:
+    """Proteins written as FASTA and read again."""
+    return _sequences(fasta.read_fasta(spark, _fasta_file(spark, d)))
+
+
+@query
+def decoy_files(spark: SparkSession, d: str) -> DataFrame:
+    """Proteins written as FASTA and read backwards."""
+    return _sequences(fasta.read_decoys(spark, _fasta_file(spark, d)))
+
+
+@query
+def map_files(spark: SparkSession, d: str) -> DataFrame:
+    """The peptide-to-protein map written as JSON and read again."""
+    path = store.scratch(spark, "map")
+    store.write_map(digest.protein_map(_peptides(spark, d)), path)
+    return store.read_map(spark, path).select("peptide", F.size("accessions").cast("long").alias("n"), F.array_join("accessions", ",").alias("accessions"))
+
+
+@query
+def pin_files(spark: SparkSession, d: str) -> DataFrame:
+    """The rescoring table written as tab-separated text and read again."""
+    path, p = store.scratch(spark, "pin"), report.pin(_results(spark, d))
+    store.write_pin(p, path)
+    return store.read_pin(spark, path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in p.schema.fields))
+
+
+@query
+def results_store(spark: SparkSession, d: str) -> DataFrame:
+    """Results of three raw files, of which one is then replaced; two are read."""
+    path, r = store.scratch(spark, "results"), _results(spark, d).select("raw_file", "index", "best_peptide")
+    store.put(r, path)
+    store.put(r.filter("raw_file = 'raw1' and index % 2 = 0"), path)
+    return store.get(spark, path, ["raw0", "raw1"]).select("raw_file", "index", "best_peptide")
+
+
+def _mgf_file(spark, d) -> str:
+    path = store.scratch(spark, "mgf")
+    s = bridge.spectra(spark, d).join(bridge.peak_lists(spark, d), "spec_id")
+    store.write_mgf(s.select(F.col("spec_id").cast("int").alias("scan"), F.col("precursor_mz").alias("precursorMZ"), F.when(F.col("spec_id") % 7 != 0, F.col("charge")).alias("charge"), "peaks"), path)
+    return path
+
+
+def _mgf_rows(read: DataFrame) -> DataFrame:
+    total = F.aggregate("peaks", F.lit(0).cast("long"), lambda a, p: a + F.round(p.mz * p.intensity * 5000).cast("long"))
+    return read.select("scan", _r(F.col("precursorMZ")).alias("precursor_mz"), "charge", F.size("peaks").cast("long").alias("n_peaks"), total.alias("total"))
+
+
+@query
+def mgf_files(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra written as MGF and read again."""
+    return _mgf_rows(mgf.read_mgf(spark, _mgf_file(spark, d)))
+
+
+@query
+def mgf_data_source(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra written as MGF and read by the data source, in ranges of 200,000 bytes."""
+    return _mgf_rows(mgf_source.read(spark, _mgf_file(spark, d), 200_000))
+
+
+@query
+def mass_window(spark: SparkSession, d: str) -> DataFrame:
+    """The database sorted by mass, of which a window is read."""
+    path = store.scratch(spark, "by-mass")
+    store.write_by_mass(_distinct(spark, d).withColumn("mass", chemistry.peptide_mass(F.col("peptide"))), path, group_rows=2000)
+    return store.mass_window(spark, path, 1000.0, 1200.0).select("peptide", _r(F.col("mass")).alias("mass"))
+
+
+@query
+def bucket_members(spark: SparkSession, d: str) -> DataFrame:
+    """The database by buckets, of which those are read into which certain spectra fall."""
+    v = bridge.vectors(spark, d)
+    b = buckets.fit_uniform(v, "mass", OPEN_BUCKETS)
+    path = store.scratch(spark, "members")
+    store.write_members(v.select("id", b.ordinal(F.col("mass")).alias("bucket")), path)
+    mass = chemistry.precursor_mass(F.col("precursor_mz"), F.col("charge"))
+    wanted = bridge.spectra(spark, d).filter((F.col("charge") == 2) & mass.between(1000, 1100)).select(b.ordinal(mass).alias("bucket"))
+    return store.members(spark, path, wanted).select("id", F.col("bucket").cast("long").alias("bucket"))
+
+
+# ------------------------------------------------- table functions, slices, stacks
+
+
+@query
+def sql_cleave(spark: SparkSession, d: str) -> DataFrame:
+    """Digestion by the table function in a lateral join."""
+    tables.register(spark)
+    return spark.sql("select accession, c.peptide from {p}, lateral cleave(sequence, 'trypsin', 1, 7, 42) c", p=bridge.proteins(spark, d))
+
+
+@query
+def sql_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Fragment ions by the table function in a lateral join."""
+    tables.register(spark)
+    return spark.sql("select peptide, count(*) as n, round(min(f.mz), 4) as least, round(max(f.mz), 4) as most, round(sum(f.mz), 2) as total from {p}, lateral fragments(peptide, 2) f group by peptide", p=_distinct(spark, d))
+
+
+@query
+def row_slice(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred spectra from the middle of an order."""
+    return sample.row_slice(bridge.spectra(spark, d), 400, 500, "charge", "precursor_mz", "spec_id")
+
+
+@query
+def stacked_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors twice, one copy behind the other, and the place of each row in a permutation."""
+    both = sample.stacked(bridge.vectors(spark, d).select("id")).persist()
+    k = sample.numbered(both, "copy", "id")
+    return k.select("id", F.col("copy").cast("long").alias("copy"), sample.permuted(F.col("k"), both.count(), 7).alias("place"))
+
+
 def queries() -> dict:
     return dict(_all)
 

@@ -196,6 +196,7 @@ def sql() -> dict[str, str]:
         "sql_fragments": f"""{_T}, pz as (select peptide, 2::bigint as charge from p), {_ions('pz')}
             select peptide, count(*) as n, round(min(ion), 4) as least, round(max(ion), 4) as most, round(sum(ion), 2) as total from ions group by peptide""",
         "search_documents": f"{_T} select count(*) as n, true as recovered from p where {_mass('peptide')} between 500 and 4000",
+        "layout_preservation": f"with {_VECTORS} select count(*) as n, true as kept from v where id % 20 = 0",
         "row_slice": f"with {_SPECTRA}, o as (select *, row_number() over (order by charge, precursor_mz, spec_id) - 1 as k from s) select spec_id, charge, precursor_mz from o where k >= 400 and k < 500",
         "stacked_shuffle": _permuted(),
         "knn_open_pivots": f"with {_BUCKETS}, {_knn('open')} select * from n",

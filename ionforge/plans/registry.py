@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, chemistry, encode, peaks, tables, vectors
 from ..functions.constants import ENZYMES
-from ..operators import digest, embed, fdr, knn, match, report, sample, towers
+from ..operators import digest, embed, fdr, knn, layout, match, report, sample, towers
 from ..sources import fasta, mgf, mgf_source, store, usi
 from . import bridge, pipeline
 from .config import SearchConfig
@@ -534,6 +534,14 @@ def manifold_plane(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "is_decoy", _r(F.abs(F.col("projection")[0]), 4).alias("x"), _r(F.abs(F.col("projection")[1]), 4).alias("y"))
 
 
+@query
+def layout_preservation(spark: SparkSession, d: str) -> DataFrame:
+    """Does the spectral plane keep at least three times as many of the rows' ten nearest as chance would?"""
+    v = bridge.vectors(spark, d).select("id", "embedding").persist()
+    plane = layout.spectral_plane(v).select("id", F.array(F.col("x").cast("float"), F.col("y").cast("float")).alias("embedding"))
+    return layout.preservation(v, plane, "id % 20 = 0").select("n", (F.col("kept") >= 3 * K / F.lit(v.count())).alias("kept"))
+
+
 # --------------------------------------------------------------------- pipeline
 
 

@@ -170,14 +170,17 @@ class Slots:
                     return
             self.size *= 2
 
-    def codes(self, words: Column) -> Column:
-        """position * size + number of each licence word among ``words``, in order."""
+    def numbers(self, words: Column) -> Column:
+        """The number of each of ``words``, or -1 for one that no licence has."""
         by_slot = {s: w for w, s in self.of.items()}
         table = F.split(F.lit(" ".join(by_slot.get(s, "-") for s in range(self.size))), " ")
         slot = lambda w: F.pmod(F.shiftrightunsigned(F.xxhash64(w), self.shift), F.lit(self.size))
         # the slot is looked up in the table, and kept where it holds this very word
-        found = F.transform(words, lambda w, i: F.when(F.get(table, slot(w).cast("int")) == w, i.cast("long") * self.size + slot(w)))
-        return F.filter(found, lambda c: c.isNotNull())
+        return F.transform(words, lambda w: F.when(F.get(table, slot(w).cast("int")) == w, slot(w).cast("int")).otherwise(-1))
+
+    def codes(self, numbers: Column) -> Column:
+        """position * size + number of each licence word, in order."""
+        return F.filter(F.transform(numbers, lambda s, i: F.when(s >= 0, i.cast("long") * self.size + s)), lambda c: c.isNotNull())
 
 
 def _longs(values) -> str:
@@ -190,9 +193,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     slots = Slots(df.sparkSession, sorted({w for t in templates for w in t.words}))
     size = slots.size
     words = df.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    rows = written(words.select("id", F.size("words").cast("long").alias("n_words"), slots.codes(F.col("words")).alias("codes")), "licence-words")
+    rows = written(words.select("id", F.size("words").cast("long").alias("n_words"), slots.numbers(F.col("words")).alias("at")), "licence-words")
     # in how many documents each word stands; at most one row for each licence word reaches the driver
-    counted = rows.select(F.explode(F.array_distinct(F.transform("codes", lambda c: c % size))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.select(F.explode(F.array_distinct("at")).alias("w")).filter("w >= 0").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     frequency = {r["w"]: r["n"] for r in counted.collect()}
 
     # phrases: (template, number within it, words' slots, offset within the template)
@@ -213,12 +216,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         return f"filter(flatten(transform({hits}, c -> transform({lists}[array_position({listed}, c % {size}) - 1], o -> (c div {size}) * {n} + o))), x -> x >= 0)"
 
     # of most texts no rarest word stands anywhere: each further step is behind the one before
-    rows = rows.withColumn("found", F.expr(places(0)))
+    rows = rows.withColumn("codes", slots.codes(F.col("at"))).withColumn("found", F.expr(places(0)))
     given = lambda x: F.when(F.size("found") > 0, F.expr(x))
     for r in range(1, min(RARE, max((len(x) for x in rare), default=1))):
         rows = rows.withColumn("found", F.coalesce(given(f"array_intersect(found, {places(r)})"), F.expr("cast(array() as array<bigint>)")))
     listed = f"array({', '.join(_longs(p) for _, _, p, _ in phrases)})"
-    stands = f"size(array_except(transform({listed}[x % {n}], (w, j) -> (x div {n} + j) * {size} + w), codes)) = 0"
+    # what stands at a place is looked up there, so that the work grows with the places and not with places times words
+    stands = f"size(filter({listed}[x % {n}], (w, j) -> not coalesce(get(at, cast(x div {n} as int) + j) = w, false))) = 0"
     rows = rows.withColumn("found", F.coalesce(given(f"filter(array_distinct(found), x -> {stands})"), F.expr("cast(array() as array<bigint>)")))
 
     # a template's first phrase gives the place; each further phrase stands behind, not farther than twice the template's length
@@ -228,8 +232,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
             more.setdefault(t, []).append(k)
     first = [k for k, (_, number, _, _) in enumerate(phrases) if not number]
     of = f"array({', '.join(str(t) for t, _, _, _ in phrases)})"
+    here = lambda j: " and ".join(f"coalesce(get(at, q + {i}) = {w}, false)" for i, w in enumerate(phrases[j][2]))
     behind = " ".join(
-        f"when x % {n} = {k} then " + " and ".join(f"exists(found, y -> y % {n} = {j} and y div {n} between x div {n} and x div {n} + {2 * len(templates[phrases[k][0]].words)})" for j in more[phrases[k][0]])
+        f"when x % {n} = {k} then " + " and ".join(f"exists(sequence(cast(x div {n} as int), cast(x div {n} as int) + {2 * len(templates[phrases[k][0]].words)}), q -> {here(j)})" for j in more[phrases[k][0]])
         for k in first
         if phrases[k][0] in more
     )
@@ -237,7 +242,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     texts = f"array({', '.join(_longs([slots.of[w] for w in t.words]) for t in templates)})"
     offsets = f"array({', '.join(str(o) for _, _, _, o in phrases)})"
     t_of = f"{of}[x % {n}]"
-    aligned = f"size(array_intersect(transform({texts}[{t_of}], (w, j) -> (x div {n} - {offsets}[x % {n}] + j) * {size} + w), codes)) / cast(size({texts}[{t_of}]) as double)"
+    aligned = f"size(filter({texts}[{t_of}], (w, j) -> coalesce(get(at, cast(x div {n} as int) - {offsets}[x % {n}] + j) = w, false))) / cast(size({texts}[{t_of}]) as double)"
     base = sum(t.base for t in templates)
     labels = ", ".join(f"'{t.label}'" for t in templates)
     hit = f"named_struct('label', array({labels})[{t_of}], 'base', {t_of} < {base}, 'place', x div {n}, 'coverage', if({t_of} < {base}, {BASE_SCORE}D, {aligned}))"

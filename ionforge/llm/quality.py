@@ -164,7 +164,8 @@ def score(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         # the smallest hashes: first a share of the hashes that holds enough of them, then the exact bound
         bound = min(2**63 - 1, -(2**63) + int(min(1.0, 1.5 * fit_rows / max(marked.count(), 1)) * 2**64))
         few = marked.filter(F.col("h") <= bound).orderBy("h", "id").limit(fit_rows)
-        known = feats.join(few, "id").select("x", "quality").collect()
+        # one row of each id, however often it occurs
+        known = feats.join(few, "id").groupBy("id", "quality").agg(F.min("x").alias("x")).orderBy("id").collect()
         y = np.array([r["quality"] for r in known], float)
         if 0 < y.sum() < len(y):
             model = fit(np.array([r["x"] for r in known]), y)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionforge.llm import common, decontaminate, exact_dedup, license_scan, near_dedup, pii, sharding
+from ionforge.llm import common, decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, sharding
 
 from .test_operators import frame, lower, near, prose
 
@@ -372,3 +372,27 @@ def test_rows_that_move_when_the_ring_grows(spark):
     assert 1 / 41 <= moved < 0.06  # the least is what the new shard holds
     more = {r.doc_id: r.shard for r in sharding.shard_rows(docs(spark, [(k, "x") for k in range(20_040)])).collect()}
     assert sum(at[40][k] != more[k] for k in at[40]) / 20_000 < 0.01
+
+
+def test_licence_scan_of_long_repetitive_texts(spark):
+    isc = next(t for t in license_scan.all_templates() if t.label == "isc")
+    small = spark.createDataFrame([(1, "cc by " * 20), (2, " ".join(isc.words) + " x")], "doc_id long, text string")
+    large = spark.createDataFrame([(1, "cc by " * 40_000), (2, (" ".join(isc.words) + " ") * 1500)], "doc_id long, text string")
+    license_scan.scan(small).collect()  # code is compiled
+    began = time.time()
+    license_scan.scan(small).collect()
+    base = time.time() - began
+    began = time.time()
+    a, b = license_scan.scan(large).drop("hits").orderBy("doc_id").collect()
+    assert time.time() - began < base + 10
+    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (80_000, 40_000, 0, 79_998, "cc-by")
+    assert b.labels == "isc" and b.score == 1.0
+
+
+def test_quality_takes_one_row_of_a_repeated_labelled_id(spark):
+    rng = random.Random(8)
+    made = [(i, prose(rng, 60) if i % 2 else "zz " * 50) for i in range(40)]
+    once, often = docs(spark, made), docs(spark, made + [made[0]] * 3000 + [made[1]] * 2000)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = ({(r.doc_id, round(r.evidence, 6)) for r in quality.score(d, labels).collect()} for d in (once, often))
+    assert a == b

@@ -95,15 +95,18 @@ def _md5k(p: str, n: int | str) -> str:
     return f"(('0x' || substr(md5({p}), 1, 8))::bigint % {n})"
 
 
-def _dealt(ids: str) -> str:
-    """Every distinct peptide as a candidate of one spectrum of ``ids``."""
+def _dealt(ids: str, copies: int = 1) -> str:
+    """Every distinct peptide as a candidate of one spectrum of ``ids``, or of several."""
+    drawn = f"select peptide, {_md5k('peptide', '(select max(n) from sp)')} as k from p"
+    if copies > 1:
+        drawn = f"select distinct peptide, {_md5k('peptide || salt', '(select max(n) from sp)')} as k from p, (select unnest(range(1, {copies + 1})) as salt)"
     return f"""sp as (select spec_id, row_number() over (order by spec_id) - 1 as k, count(*) over () as n from ({ids})),
-    pk as (select peptide, {_md5k('peptide', '(select max(n) from sp)')} as k from p),
+    pk as ({drawn}),
     cand as (select spec_id, (2 + spec_id % 2)::int as charge, row_number() over (partition by spec_id order by peptide) as pos, peptide from pk join sp using (k))"""
 
 
 _CANDIDATES = _dealt("select distinct l_partkey as spec_id from lineitem")
-_SCORED = f"""{_CANDIDATES}, {_PEAKS},
+_SCORING = f"""{_PEAKS},
     top as (select *, row_number() over (partition by spec_id order by intensity desc, pos desc) as by_intensity from k qualify by_intensity <= 100),
     norm as (select spec_id, sqrt(sum(intensity * intensity)) as d from top group by spec_id),
     tp as (select spec_id, mz, intensity / d as intensity from top join norm using (spec_id)),
@@ -112,6 +115,7 @@ _SCORED = f"""{_CANDIDATES}, {_PEAKS},
              where exists (select 1 from ions i where i.peptide = c.peptide and i.charge = c.charge and abs(tp.mz - i.ion) < 2.0) group by all),
     sc as (select c.spec_id, c.pos, c.peptide, coalesce(n, 0) as n_matched, round(case when coalesce(n, 0) > 4 then n * total else -coalesce(total, 0) end, 4) + 0.0 as score
            from cand c left join hits using (spec_id, pos, peptide) where c.spec_id in (select spec_id from tp))"""
+_SCORED = f"{_CANDIDATES}, {_SCORING}"
 
 def _permuted() -> str:
     """Stacked rows, numbered and permuted, the rounds written out; a number beyond the range is permuted again, up to six times."""
@@ -214,6 +218,7 @@ def sql() -> dict[str, str]:
         "ions_distinct": f"{_T}, {_CANDIDATES} select distinct peptide, charge::bigint as charge from cand",
         **dict.fromkeys(("match_score", "match_score_all"), f"{_T}, {_SCORED} select spec_id, pos, peptide, n_matched, score from sc"),
         **dict.fromkeys(("best_per_spectrum", "best_per_spectrum_all"), f"{_T}, {_SCORED} select spec_id, pos, peptide, score from sc qualify row_number() over (partition by spec_id order by score desc, pos desc) = 1"),
+        "match_score_wide": f"{_T}, {_dealt('select distinct l_partkey as spec_id from lineitem', 4)}, {_SCORING} select spec_id, pos, peptide, n_matched, score from sc",
         "best_three": f"{_T}, {_SCORED} select spec_id, row_number() over (partition by spec_id order by score desc, pos desc) as rank, pos, peptide, score from sc qualify rank <= 3",
         **dict.fromkeys(
             ("peak_match", "peak_match_all"),

@@ -11,8 +11,8 @@ from ..sources import fasta, mgf, store
 from .config import SearchConfig
 
 
-def build_database(proteins: DataFrame, config: SearchConfig) -> tuple[DataFrame, DataFrame]:
-    """(peptide, is_decoy, mass) of targets and sanitised decoys, and the target map."""
+def build_database(proteins: DataFrame, config: SearchConfig, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(peptide, is_decoy, mass) of targets and sanitised decoys, and the target map; ``check`` counts the targets first."""
     how = dict(
         enzyme=config.enzyme,
         missed=config.max_missed_cleavages,
@@ -22,7 +22,8 @@ def build_database(proteins: DataFrame, config: SearchConfig) -> tuple[DataFrame
     )
     targets = digest.digest(proteins, **how)
     decoys = digest.digest(digest.reverse_proteins(proteins), **how)
-    digest.check_size(targets.select("peptide").distinct(), config.max_database_size)
+    if check:
+        digest.check_size(targets.select("peptide").distinct(), config.max_database_size)
     db = digest.search_database(targets, decoys).withColumn("mass", chemistry.peptide_mass(F.col("peptide")))
     return db.filter("mass is not null"), digest.protein_map(targets)
 
@@ -82,11 +83,12 @@ def run(spark: SparkSession, config: SearchConfig, embedder: embed.Embedder | No
     """From files to accepted identifications; each stage is written to the results folder."""
     fasta_path, raws = config.inputs(spark)
     proteins = fasta.read_fasta(spark, fasta_path)
-    db, protein_map = build_database(proteins, config)
+    db, protein_map = build_database(proteins, config, check=False)
     out = config.results_dir
     db.write.mode("overwrite").parquet(f"{out}/db")
     protein_map.write.mode("overwrite").parquet(f"{out}/map")
     db, protein_map = spark.read.parquet(f"{out}/db"), spark.read.parquet(f"{out}/map")
+    digest.check_size(db.filter("not is_decoy"), config.max_database_size)
     store.put(prepare_spectra(mgf.read_mgf(spark, raws), config), f"{out}/spectra")
     spectra = store.get(spark, f"{out}/spectra")
     search(spectra, db, config, embedder).write.mode("overwrite").parquet(f"{out}/candidates")

@@ -15,7 +15,9 @@ buckets.
 * What is left are pairs of one bucket in different components.  Members outside
   a bucket's largest component are compared with those of other components,
   unless sizes exclude a link, or ``BITS`` min-max values of one bit each differ
-  in more places than :func:`most_differing` allows.
+  in more places than :func:`most_differing` allows.  They meet in blocks, and
+  only the numbers of pairs that are left go on: in a family of texts just below
+  the threshold these are still most of its pairs.
 
 Comparisons are exact, on the full sets of 64-bit shingle hashes.  A hub's text
 is sent once to each ``HUB_ROWS`` of the nodes that are compared with it, and
@@ -55,6 +57,8 @@ BANDS, ROWS = 64, 5
 BITS = 4352
 #: Nodes to which a hub's text is sent once.
 HUB_ROWS = 500
+#: Members of a bucket that meet in one block, about, and pairs of them that are tested at once.
+BLOCK, CHUNK = 512, 1 << 14
 #: Texts of a file.
 TEXT_ROWS = 20_000
 _WORDS = Words(SPACED)
@@ -259,19 +263,57 @@ def _open(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def _rest(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    """The pairs (a, b) of nodes of one bucket and different components that may be links."""
+    """The pairs (a, b) of nodes of one bucket and different components that may be links.
+
+    A bucket's members meet in blocks of about BLOCK, by whole arrays; of their
+    pairs only the numbers of those leave a task that no test excludes.
+    """
     counts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    keys = written(open_.groupBy("node").agg(F.collect_list("key").alias("keys")), "near-keys", most)  # a node has as many as bands at most
-    marks = _bits(rows_with_keys(texts, keys, ["node"], exact=False), n).join(keys, "node").join(rows_with_keys(nodes, keys, ["node"], exact=False).select("node", "size"), "node")
+    keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    wanted = written(open_.select("node").distinct(), "near-wanted", most)
+    marks = _bits(rows_with_keys(texts, wanted, ["node"], exact=False), n).join(rows_with_keys(nodes, wanted, ["node"], exact=False).select("node", "size", "bands"), "node")
     marks = written(marks, "near-marks", most, TEXT_ROWS)
-    rows = open_.select("key", "node", "component").join(main, "key").withColumn("main", F.col("component") == F.col("main"))
     # only members outside a bucket's largest component are compared, with those of other components
-    left, right = (x.join(marks, "node").select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "component", "main", "size", "bits", "keys"))) for x, s in ((rows.filter("not main"), "a"), (rows, "b")))
-    # a pair is met once, in the first bucket that it shares
-    able = f"""key_a = key_b and (main_b or node_a < node_b) and component_a != component_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)
-        and aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {most_differing(percent)} and array_min(array_intersect(keys_a, keys_b)) = key_a"""
-    return left.join(right, F.expr(able)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    rows = open_.select("key", "node", "component").join(keys, "key").withColumn("main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(marks, "node")
+    blocks = rows.groupBy("key", "parts", "part").agg(F.collect_list(F.struct("node", "component", "main", "size", "bands", "bits")).alias("m"))
+    large = blocks.filter("parts > 1")
+    met = large.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).filter("other > part")
+    met = met.join(large.select("key", F.col("part").alias("other"), F.col("m").alias("m2")), ["key", "other"])
+    schema = "a long, b long"
+    return blocks.select("key", "m").mapInArrow(_able(percent), schema).unionByName(met.select("key", "m", "m2").mapInArrow(_able(percent), schema))
+
+
+def _members(col: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of a block: nodes, components, whether each is of the main one, sizes, bands and bits."""
+    flat = col.flatten()
+    plain = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "main", "size")]
+    return *plain, *(flat.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for c in ("bands", "bits"))
+
+
+def _able(percent: int):
+    """The pairs of a block, or of two, that sizes and bits allow to be links, each in the first bucket that it shares."""
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for row, key in enumerate(keys):
+                node, component, main, size, bands, bits = left = _members(b.column(1).slice(row, 1))
+                node2, component2, main2, size2, bands2, bits2 = right = _members(b.column(2).slice(row, 1)) if b.num_columns > 2 else left
+                fit = (component[:, None] != component2) & ~(main[:, None] & main2) & (100 * np.minimum(size[:, None], size2) >= percent * np.maximum(size[:, None], size2))
+                if right is left:
+                    fit = np.triu(fit, 1)
+                band = int((bands[0] == key).argmax())
+                i, j = np.nonzero(fit)
+                for at in range(0, len(i), CHUNK):
+                    x, y = i[at : at + CHUNK], j[at : at + CHUNK]
+                    new = ~(bands[x, :band] == bands2[y, :band]).any(1)
+                    x, y = x[new], y[new]
+                    near = np.bitwise_count(bits[x] ^ bits2[y]).sum(1) <= most_differing(percent)
+                    p, q = node[x[near]], node2[y[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return run
 
 
 def _links(keys: DataFrame, nodes: DataFrame, texts_of, n: int, percent: int, count: int) -> DataFrame | None:

@@ -396,3 +396,22 @@ def test_quality_takes_one_row_of_a_repeated_labelled_id(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     a, b = ({(r.doc_id, round(r.evidence, 6)) for r in quality.score(d, labels).collect()} for d in (once, often))
     assert a == b
+
+
+def test_near_pairs_of_a_family_just_below_the_threshold(spark, monkeypatch):
+    """Texts that share most words, few of them enough for a link, in buckets of several blocks, against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    made = []
+    for i in range(150):
+        made.append((i, " ".join(base + [f"u{rng.randrange(10**9)}" for _ in range(rng.choice([16, 17, 18, 24, 25, 30]))])))
+    near_dedup_rows = near_dedup.near_groups(docs(spark, made), n=4).collect()
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in made]
+    least = list(range(len(made)))
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
+            lo, hi = sorted((least[a], least[b]))
+            least = [lo if x == hi else x for x in least]
+    assert {r.doc_id: r.component_id for r in near_dedup_rows} == dict(enumerate(least))
+    assert 2 < len(set(least)) < 150

@@ -11,6 +11,10 @@ from ..sources import fasta, mgf, store
 from .config import SearchConfig
 
 
+#: Pairs of spectra and peptides from which the open search goes by pivots.
+PIVOT_PAIRS = 10**10
+
+
 def build_database(proteins: DataFrame, config: SearchConfig, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(peptide, is_decoy, mass) of targets and sanitised decoys, and the target map; ``check`` counts the targets first."""
     how = dict(
@@ -52,7 +56,11 @@ def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: em
         narrow = knn.knn_narrow_pruned(queries, vectors, config.k, config.narrow_radius)
     else:
         narrow = knn.knn(queries, vectors, config.k, "narrow")
-    found = knn.hybrid(narrow, knn.knn_open_pivots(queries, vectors, config.k), config.k) if config.open_search else narrow
+    found = narrow
+    if config.open_search:
+        # with few pairs the table of pivots costs more than it saves
+        many = queries.count() * vectors.count() > PIVOT_PAIRS
+        found = knn.hybrid(narrow, knn.knn_open_pivots(queries, vectors, config.k) if many else knn.knn(queries, vectors, config.k, "open"), config.k)
     names = vectors.select(F.col("id").alias("db_id"), "peptide")
     return found.join(names, "db_id").select(F.col("query_id").alias("spec_id"), "pos", "peptide", "distance", "is_decoy")
 

@@ -14,8 +14,14 @@ Files are written through ``pyarrow.fs`` into the shared folder under names
 given by the partition, first under a temporary name and then renamed; a task
 that runs again writes the same bytes to the same names.
 
-Defined results: null html is an empty payload; null ids and urls are written
-as empty headers and read back as null; among equal payloads with equal page
+Joins carry html, so no key of theirs is large: groups that hold a thousandth
+of all repeated rows are fewer than a thousand and are broadcast, and rows that
+need no partner are spread.  Rows that agree in id, payload and url are written
+by one task, one after the other.
+
+Defined results: null html is an empty payload; a null id is an empty header, a
+null url none, and both are read back as null; equal payloads without any page
+id are all responses; among equal payloads with equal page
 ids one row is the response and the rest revisits of it; an empty table gives
 an empty result.  Extra columns are ignored.
 """
@@ -30,13 +36,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import make_folder, new_path, with_workers, written
 
 ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
+#: Groups of equal payloads that are broadcast are fewer.
+HOT_GROUPS = 1000
+#: Archives that a writing task fills, about.
+ARCHIVES = 16
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of an archive's records from which its dictionary is built.
 TRAINING_BYTES = 2 << 20
@@ -55,7 +65,7 @@ def record(page_id, url, payload: bytes, digest: str, size: int, kind: str, refe
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{text(page_id)}>",
-        f"WARC-Target-URI: {text(url)}",
+        *([] if url is None else [f"WARC-Target-URI: {text(url)}"]),
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
@@ -75,7 +85,7 @@ def parse(data: bytes) -> dict:
     urn = lambda x: int(x[10:-1]) if x[10:-1] else None
     return {
         "page_id": urn(fields["WARC-Record-ID"]),
-        "url": fields["WARC-Target-URI"] or None,
+        "url": fields.get("WARC-Target-URI"),
         "payload_bytes": size,
         "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex(),
         "record_type": fields["WARC-Type"],
@@ -127,33 +137,25 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
     spark = pages.sparkSession
     with_workers(spark)
     path = path or new_path(spark, "warc")
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", F.col("html"), F.sha1(html).alias("digest"))
-    groups = written(
-        rows.filter(F.octet_length("html") >= revisit_bytes)
-        .groupBy("digest", F.sha2("html", 256).alias("second"))
-        .agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", "second", "refers_to"),
-        "warc-groups",
-    )
-    second = F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256))
-    rows = rows.withColumn("second", second).join(groups, ["digest", "second"], "left")
-    # only one row may be the response where rows repeat its page id
-    again = written(
-        rows.filter("page_id <=> refers_to and second is not null").groupBy("page_id", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("page_id", "second"),
-        "warc-repeated",
-    )
-    if again.limit(1).count():
-        w = Window.partitionBy("page_id", "second").orderBy("url")
-        hit = rows.join(again, ["page_id", "second"], "left_semi").withColumn("first", F.row_number().over(w) == 1)
-        rows = rows.join(again, ["page_id", "second"], "left_anti").withColumn("first", F.lit(True)).unionByName(hit)
-    else:
-        rows = rows.withColumn("first", F.lit(True))
-    kind = F.when(F.col("refers_to").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("first")), "revisit").otherwise("response")
-    rows = rows.select("page_id", "url", "html", "digest", kind.alias("kind"), "refers_to")
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, F.xxhash64("page_id", "url")).sortWithinPartitions("page_id", "url", "kind")
+    # SHA-1, and for payloads that may be revisited SHA-256 behind it
+    long = F.coalesce(F.octet_length("html") >= revisit_bytes, F.lit(False))
+    key = F.concat(F.sha1(F.coalesce("html", F.lit(""))), F.when(long, F.sha2("html", 256)).otherwise(""))
+    rows = pages.select("page_id", "url", "html", key.alias("key"), long.alias("long"))
+    groups = written(rows.filter("long").groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null"), "warc-groups")
+    whole = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size = pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
+    # fewer than HOT_GROUPS groups hold such a share of the repeated rows; what is left has no large key
+    large = F.col("n") * HOT_GROUPS > whole
+    hot, rest = groups.filter(large).select("key", "refers_to"), groups.filter(~large).select(F.col("key").alias("at"), F.col("refers_to").alias("other"))
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    spread_out = F.xxhash64("page_id", "url").cast("string")
+    rows = rows.withColumn("at", F.when(F.col("long") & F.col("refers_to").isNull(), F.col("key")).otherwise(spread_out)).join(rest, "at", "left")
+    refers_to = F.coalesce("refers_to", "other")
+    # rows of one payload and its largest page id meet in one task, where the first is the response
+    top = F.coalesce(F.col("page_id") == refers_to, F.lit(False))
+    rows = rows.select("page_id", "url", "html", "key", top.alias("top"), refers_to.alias("refers_to"))
+    parts = max(spark.sparkContext.defaultParallelism, 1 + size // (ARCHIVES * archive_bytes))
+    rows = rows.repartition(parts, F.xxhash64("page_id", "key", F.when(~F.col("top"), F.col("url")))).sortWithinPartitions("page_id", "key", "url")
     target = path
 
     def write(batches):
@@ -162,7 +164,7 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
 
         store, folder = fs.FileSystem.from_uri(target)
         store.create_dir(folder, recursive=True)
-        part, held, size, k = TaskContext.get().partitionId(), [], 0, 0
+        part, held, size, k, last = TaskContext.get().partitionId(), [], 0, 0, None
 
         def flush():
             nonlocal held, size, k
@@ -178,9 +180,11 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
         for b in batches:
             made = []
             for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                page_id, url, body, digest, what, refers = r
+                page_id, url, body, key, top, refers = r
                 body = (body or "").encode()
-                held.append(record(page_id, url, body, digest, len(body), what, refers))
+                what = "response" if refers is None or (top and (page_id, key) != last) else "revisit"
+                last = (page_id, key)
+                held.append(record(page_id, url, body, key[:40], len(body), what, refers))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     made.append(flush())

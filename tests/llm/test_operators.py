@@ -344,6 +344,28 @@ def test_repeated_page_ids(spark):
     assert got == [(1, "revisit", 2, "a"), (2, "response", 0, "b"), (2, "response", 0, "d"), (2, "revisit", 2, "c")]
 
 
+def test_hot_payloads_null_ids_and_empty_urls(spark, monkeypatch):
+    """Large and small groups go different ways; the result is that of a plain loop."""
+    monkeypatch.setattr(warc, "HOT_GROUPS", 4)
+    hot, few, lone = "h" * 1500, "f" * 1500, "l" * 1500
+    rows = [(k, f"u{k}", hot) for k in range(60)] + [(k, f"u{k}", few) for k in range(60, 63)] + [(70, "", lone), (71, None, "s"), (72, "", None)]
+    rows += [(None, None, "n" * 1500), (None, "v", "n" * 1500), (None, "w", few), (62, None, few), (62, "z", few)] + [(k, "e", "") for k in range(80, 90)]
+    got = warc.read_archives(spark, warc.write_archives(pages(spark, rows))).collect()
+    tops = {}
+    for i, _, h in rows:
+        if h and len(h) >= 1000 and i is not None:
+            tops[h] = max(i, tops.get(h, i))
+    want, seen = [], set()
+    for i, u, h in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        top = tops.get(h)
+        first = top is None or (i == top and h not in seen)
+        if first and top is not None:
+            seen.add(h)
+        want.append((i, u, len(h or ""), "response" if first else "revisit", None if first else top, (h or "") if first else None))
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to, r.html) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_no_pages(spark):
     path = warc.write_archives(pages(spark, [(1, "a", "x")]).limit(0))
     assert warc.read_archives(spark, path).count() == 0

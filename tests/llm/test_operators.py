@@ -641,6 +641,25 @@ def test_repetitive_item_is_confirmed_by_its_words_in_order():
     assert searcher.confirm(decontaminate.hashed(["h " + "a " * 12])[0], 0) is None
 
 
+def test_tiles_of_passages_and_items_change_nothing(monkeypatch):
+    """Small tiles find what one large tile finds, by the cosine and by word pairs."""
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (6, 9, 20, 30, 50, 64, 150, 12, 25, 40)]
+    texts = [f"{prose(rng, 70)} {x} {prose(rng, 30)}" for x in items] + [prose(rng, 500), "", " ".join(items)]
+    texts += [" ".join(w for k, w in enumerate(x.split()) if k % 6 != 5) for x in items]
+    space = np.random.default_rng(3).standard_normal((512, 24)).astype(np.float32)
+
+    def found():
+        searcher = decontaminate.Searcher(list(range(10)), decontaminate.hashed(items), np.ones(512, np.float32), space, 64, 0.3, 0.7, 0.5)
+        return [[(i, part, answer, at) for i, _, part, answer, at in row] for row in searcher.search(pa.array(texts))]
+
+    whole = found()
+    assert all(k in {i for i, *_ in whole[k]} for k in range(10)) and {i for i, *_ in whole[12]} == set(range(10))
+    for tile in (1, 3, 7):
+        monkeypatch.setattr(decontaminate, "TILE", tile)
+        assert found() == whole
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(14)
     items = [(k, prose(rng, 30, 5000)) for k in range(12)]

@@ -8,7 +8,8 @@ document's score is that of its worst window.  All windows of the whole text
 are scored.
 
 The network is trained in numpy, on the driver, from at most ``fit_rows``
-labelled rows of each class, those with the smallest hash of the id.  Labels
+labelled rows of each class, those with the smallest hash of the id, and of
+them those whose whole texts fit in ``fit_bytes`` in that order.  Labels
 belong to documents, so training picks each toxic document's worst window and
 the clean documents' random and worst windows, first by the embeddings'
 evidence and then by the network.
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Words, mixed, sliced, spread, with_workers
+from .common import LETTERS, Words, mixed, sliced, spread, with_workers, written
 
 FIT_ROWS = 1200
+#: Bytes of their texts; a text that would go beyond is not learnt from.
+FIT_BYTES = 32 << 20
 WINDOW = 32
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 6, 6
@@ -354,8 +357,8 @@ def _calibrate(net: Network, worst: np.ndarray, y: np.ndarray) -> None:
     net.scale = np.array([1.0, np.log(0.7 / 0.3) - cut], np.float32)
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text"):
-    """At most ``fit_rows`` (text, label) of each class, from rows that are not held out."""
+def fit_sample(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", fit_bytes: int = FIT_BYTES):
+    """At most ``fit_rows`` (text, label) of each class and ``fit_bytes`` of text, from rows that are not held out."""
     marked = labels.filter("toxic in (0, 1)").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for k in (0, 1):
@@ -363,7 +366,14 @@ def fit_sample(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: i
         picked = some if picked is None else picked.unionByName(some)
     # at most 2 * fit_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample", most=2 * fit_rows)
+    left, taken, total = fit_bytes, [], 0
+    for doc_id, n in rows.select("doc_id", F.octet_length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        total += 1
+        if n <= left:
+            left -= n
+            taken.append(doc_id)
+    return (rows if len(taken) == total else rows.filter(F.col("doc_id").isin(taken))).collect()
 
 
 def held_out(id_col: str = "doc_id") -> Column:

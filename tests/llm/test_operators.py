@@ -579,6 +579,26 @@ def test_windows_cover_every_word():
 # -------------------------------------------------------------- decontamination
 
 
+def test_toxicity_learns_from_texts_of_bounded_bytes(spark):
+    """Whole texts in the order of the hash, of repeated ids the first text; what doesn't fit is left out."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 5 + i)) for i in range(40)] + [(3, "a"), (50, "x " * 50_000)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), 50]], "doc_id long, toxic int")
+    least = {}
+    for i, t in rows:
+        least[i] = min(t, least.get(i, t))
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in least], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for most in (10**9, 2000, 0):
+        left, want = most, {}
+        for i in order:
+            if len(least[i].encode()) <= left:
+                left -= len(least[i].encode())
+                want[i] = (least[i], i % 2)
+        got = toxicity.fit_sample(docs, labels, F.lit(False), fit_bytes=most)
+        assert {r.doc_id: (r.text, r.toxic) for r in got} == want and (most < 10**9 or len(got) == 41)
+
+
 def test_decontamination(spark):
     rng = random.Random(13)
     items = [(k, prose(rng, rng.choice([8, 15, 40, 60, 150]), 5000)) for k in range(25)] + [(90, None), (91, ""), (92, "too short")]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of the order in which rows are numbered, and rows among which their bounds are chosen.
 RANGES, SAMPLE = 200, 20_000
+#: Cuts that are passed over at once when a row's range is looked for.
+STEP = 14
 #: A prime below 2**31, and rounds of the permutation.
 PRIME, ROUNDS = 2_147_483_647, 4
 #: Times that a number beyond the range is permuted again, at most.
@@ -20,13 +22,21 @@ def seeded(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "k", ranges: int = RANGES) -> DataFrame:
+def _place(cuts: Column, n: int, key: Column) -> Column:
+    """How many of the ``n`` ascending cuts are not above the key: every STEP-th cut is compared, then those behind the last of them."""
+    coarse = F.array(*(F.get(cuts, F.lit(i)) for i in range(0, n, STEP)))
+    own = F.size(F.filter(coarse, lambda c: c <= key))
+    return F.when(own == 0, 0).otherwise(_let((own - 1) * STEP + 1, lambda base: base + F.size(F.filter(F.slice(cuts, base + 1, STEP - 1), lambda c: c <= key))))
+
+
+def numbered(df: DataFrame, *order: str, name: str = "k", ranges: int = RANGES, places: tuple[int, int] | None = None) -> DataFrame:
     """Adds ``name``: each row's place from 0 in the order of its columns, nulls first.
 
     Rows are dealt to ranges of the order, whose bounds are rows of a sample
     drawn by hash; within a range they are numbered by a window, and only the
     ranges' sizes meet in one task.  The numbers don't depend on bounds or
     partitions, provided that no two rows agree in all columns of ``order``.
+    With ``places`` only the ranges that reach into these places are numbered.
     """
     key = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
     drawn = df.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, -(-df.count() // SAMPLE)))) == 0).select(key.alias("o")).orderBy("o").collect()  # about SAMPLE rows
@@ -34,9 +44,13 @@ def numbered(df: DataFrame, *order: str, name: str = "k", ranges: int = RANGES)
     kind = df.select(key.alias("o")).schema["o"].dataType
     part, own, before = "__range", "__own", "__before"
     above = F.array(*(F.struct(*(F.lit(v).alias(f.name) for v, f in zip(c, kind.fields, strict=True))).cast(kind) for c in dict.fromkeys(cuts)))
-    rows = df.withColumn(part, F.size(F.filter(above, lambda c: c <= key)) if cuts else F.lit(0))
+    rows = df.withColumn(part, _place(above, len(dict.fromkeys(cuts)), key) if cuts else F.lit(0))
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    sizes = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), "n")
+    if places:
+        sizes = sizes.filter((F.col(before) < places[1]) & (F.col(before) + F.col("n") > places[0])).persist()  # at most a row for each range
+        rows = rows.join(F.broadcast(sizes.select(part)), part, "left_semi")
+    sizes = sizes.drop("n")
     rows = rows.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1)
     return rows.join(F.broadcast(sizes), part).withColumn(name, F.col(before) + F.col(own)).drop(part, own, before)
 
@@ -44,7 +58,7 @@ def numbered(df: DataFrame, *order: str, name: str = "k", ranges: int = RANGES)
 def row_slice(df: DataFrame, start: int, stop: int, *order: str) -> DataFrame:
     """The rows at the places ``start`` to ``stop``, the latter excluded, in the order of these columns."""
     at = "__place"
-    return numbered(df, *order, name=at).filter((F.col(at) >= start) & (F.col(at) < stop)).drop(at)
+    return numbered(df, *order, name=at, places=(start, stop)).filter((F.col(at) >= start) & (F.col(at) < stop)).drop(at)
 
 
 def permutation_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:

@@ -60,12 +60,20 @@ def _int(text: str | None) -> int | None:
 
 def parse_spectrum(text: str) -> tuple[int | None, float | None, int | None, list[dict]]:
     """(scan, m/z, charge, peaks) of the lines of a spectrum; the first line of a name counts."""
+    mzs: list[float] = []
+    heights: list[float] = []
+    head = _parse(text, mzs, heights)
+    return *head, [{"mz": m, "intensity": i} for m, i in zip(mzs, heights, strict=True)]
+
+
+def _parse(text: str, mzs: list[float], heights: list[float]) -> tuple[int | None, float | None, int | None]:
+    """(scan, m/z, charge) of a spectrum, its peaks appended to two lists."""
     fields: dict[str, str] = {}
-    peaks = []
     for line in text.splitlines():
         part = line.split()
         if part and part[0][0].isascii() and part[0][0].isdigit():
-            peaks.append({"mz": float(part[0]), "intensity": float(part[1]) if len(part) > 1 else 0.0})
+            mzs.append(float(part[0]))
+            heights.append(float(part[1]) if len(part) > 1 else 0.0)
         elif m := _LINE.match(line):
             fields.setdefault(m[1], m[2].strip())
     scan = _int(fields.get("SCANS"))
@@ -77,7 +85,34 @@ def parse_spectrum(text: str) -> tuple[int | None, float | None, int | None, lis
         mz = float(mass[0]) if mass else None
     except ValueError:
         mz = None
-    return scan, mz, _int(charge[0]) if charge else None, peaks
+    return scan, mz, _int(charge[0]) if charge else None
+
+
+class _Rows:
+    """Spectra of a range, as flat columns."""
+
+    def __init__(self, part: Range, bare: bool):
+        self.part, self.bare = part, bare
+        self.offsets: list[int] = []
+        self.heads: list[tuple] = []
+        self.ends: list[int] = [0]
+        self.mzs: list[float] = []
+        self.heights: list[float] = []
+
+    def add(self, offset: int, text: str) -> None:
+        self.offsets.append(offset)
+        if not self.bare:
+            self.heads.append(_parse(text, self.mzs, self.heights))
+            self.ends.append(len(self.mzs))
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.offsets)
+        own = [pa.array([self.part.path] * n, pa.string()), pa.array([self.part.split] * n, pa.int32()), pa.array(self.offsets, pa.int64())]
+        if self.bare:
+            return pa.RecordBatch.from_arrays([*own, *(pa.nulls(n, f.type) for f in list(_ARROW)[3:])], schema=_ARROW)
+        heads = [pa.array(list(x), f.type) for x, f in zip(zip(*self.heads, strict=True), list(_ARROW)[3:6], strict=True)]
+        peaks = pa.StructArray.from_arrays([pa.array(self.mzs, pa.float64()), pa.array(self.heights, pa.float64())], fields=list(_ARROW.field("peaks").type.value_type))
+        return pa.RecordBatch.from_arrays([*own, *heads, pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), peaks, type=_ARROW.field("peaks").type)], schema=_ARROW)
 
 
 def _spectra(file: pa.NativeFile, start: int, end: int | None) -> Iterator[tuple[int, str]]:
@@ -103,8 +138,8 @@ def _spectra(file: pa.NativeFile, start: int, end: int | None) -> Iterator[tuple
 
 
 class MgfReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, bare: bool = False):
+        self.path, self.split_bytes, self.bare = path, split_bytes, bare
 
     def partitions(self) -> list[Range]:
         store, at = pafs.FileSystem.from_uri(self.path)
@@ -121,21 +156,21 @@ class MgfReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(self.path)
-        rows: list[dict] = []
+        rows = _Rows(part, self.bare)
         with store.open_input_stream(part.path) if part.path.endswith(".gz") else store.open_input_file(part.path) as file:
             if part.start:
                 file.seek(part.start)
             for offset, text in _spectra(file, part.start, part.end):
-                rows.append(dict(zip(_ARROW.names, (part.path, part.split, offset, *parse_spectrum(text)), strict=True)))
-                if len(rows) == BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                rows.add(offset, text)
+                if len(rows.offsets) == BATCH_ROWS:
+                    yield rows.batch()
+                    rows = _Rows(part, self.bare)
+        if rows.offsets:
+            yield rows.batch()
 
 
 class MgfDataSource(DataSource):
-    """Options: ``path``, a file or folder, and ``split_bytes``."""
+    """Options: ``path``, a file or folder, ``split_bytes``, and ``bare``: true gives where spectra begin only, the rest null."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,7 +181,7 @@ class MgfDataSource(DataSource):
 
     def reader(self, schema) -> MgfReader:
         path = self.options["path"]
-        return MgfReader(path if "://" in path or path.startswith("file:") else f"file://{path}", int(self.options.get("split_bytes", SPLIT_BYTES)))
+        return MgfReader(path if "://" in path or path.startswith("file:") else f"file://{path}", int(self.options.get("split_bytes", SPLIT_BYTES)), str(self.options.get("bare", "false")).lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -158,7 +193,9 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Data
     """The columns of :func:`ionforge.sources.mgf.read_mgf`; the ranges' spectra are counted first, so that ``index`` counts those of a file."""
     register(spark)
     raw = spark.read.format("mgf").option("split_bytes", split_bytes).load(path)
-    counts = raw.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    # counted without reading what the spectra hold
+    bare = spark.read.format("mgf").option("split_bytes", split_bytes).option("bare", "true").load(path)
+    counts = bare.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("path", "split", F.coalesce(earlier, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("path", "split").orderBy("offset"))

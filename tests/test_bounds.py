@@ -132,3 +132,17 @@ def test_a_slice_numbers_few_rows(spark):
     for lo, hi in ((0, 10), (2400, 2555), (4990, 6000), (7000, 8000)):
         assert sorted((r.w, r.v) for r in sample.row_slice(df, lo, hi, "w", "v").collect()) == want[lo:hi]
     assert sample.numbered(df, "w", "v", places=(2400, 2500)).count() < 500
+
+
+def test_spectra_are_counted_without_being_parsed(tmp_path, monkeypatch):
+    from ionforge.sources import mgf_source
+
+    path = tmp_path / "a.mgf"
+    path.write_text("".join(f"BEGIN IONS\nSCANS={i}\nPEPMASS={500 + i}.5\nCHARGE=2+\n100.5 {i}\n200.25\nEND IONS\n" for i in range(2500)))
+    whole = [b for s in (10_000, 1 << 30) for r in [mgf_source.MgfReader(f"file://{path}", s)] for p in r.partitions() for b in r.read(p)]
+    rows = pa.Table.from_batches(whole).to_pylist()
+    assert [r["scan"] for r in rows] == 2 * list(range(2500))
+    assert rows[7]["peaks"] == [{"mz": 100.5, "intensity": 7.0}, {"mz": 200.25, "intensity": 0.0}] and rows[7]["precursorMZ"] == 507.5 and rows[7]["charge"] == 2
+    monkeypatch.setattr(mgf_source, "_parse", None)
+    bare = mgf_source.MgfReader(f"file://{path}", 10_000, True)
+    assert sum(b.num_rows for p in bare.partitions() for b in bare.read(p)) == 2500

@@ -47,32 +47,74 @@ def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: em
     Embeddings are used by both searches, so they are persisted (and computed
     anew where an executor is lost).
     """
+    queries, vectors, found = _narrow(spectra, db, config, embedder)
+    if config.open_search:
+        found = knn.hybrid(found, _open(queries, vectors, config), config.k)
+    return _named(found, vectors)
+
+
+def _narrow(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: embed.Embedder | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries and database rows as they are compared, both persisted, and what the narrow search finds."""
     embedder = embedder or embed.HashEmbedder()
     fitted = buckets.fit_uniform(db, "mass", config.n_buckets_open)
     within = db.filter(F.col("mass").between(config.min_peptide_mass, config.max_peptide_mass))
     vectors = embedder.peptides(within).select(F.xxhash64("peptide", "is_decoy").alias("id"), "peptide", "embedding", "mass", fitted.ordinal(F.col("mass")).alias("bucket"), "is_decoy").persist()
     queries = embedder.spectra(spectra).select(F.col("spec_id").alias("id"), "embedding", F.col("pepmass").alias("mass"), fitted.ordinal(F.col("pepmass")).alias("bucket")).persist()
     if getattr(embedder, "unit_length", False):
-        narrow = knn.knn_narrow_pruned(queries, vectors, config.k, config.narrow_radius)
-    else:
-        narrow = knn.knn(queries, vectors, config.k, "narrow")
-    found = narrow
-    if config.open_search:
-        # with few pairs the table of pivots costs more than it saves
-        many = queries.count() * vectors.count() > PIVOT_PAIRS
-        found = knn.hybrid(narrow, knn.knn_open_pivots(queries, vectors, config.k) if many else knn.knn(queries, vectors, config.k, "open"), config.k)
+        return queries, vectors, knn.knn_narrow_pruned(queries, vectors, config.k, config.narrow_radius)
+    return queries, vectors, knn.knn(queries, vectors, config.k, "narrow")
+
+
+def _open(queries: DataFrame, vectors: DataFrame, config: SearchConfig) -> DataFrame:
+    # with few pairs the table of pivots costs more than it saves
+    many = queries.count() * vectors.count() > PIVOT_PAIRS
+    return knn.knn_open_pivots(queries, vectors, config.k) if many else knn.knn(queries, vectors, config.k, "open")
+
+
+def _named(found: DataFrame, vectors: DataFrame) -> DataFrame:
     names = vectors.select(F.col("id").alias("db_id"), "peptide")
     return found.join(names, "db_id").select(F.col("query_id").alias("spec_id"), "pos", "peptide", "distance", "is_decoy")
 
 
 def rescore(spectra: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:
     """The best candidate of each spectrum, with masses."""
-    scored = match.score_candidates(spectra.select("spec_id", "charge", "peaks"), candidates, config.tolerance_dalton, config.min_matching_peaks, config.max_n_peaks, config.max_n_fragments)
+    return _best(spectra, _scored(spectra, candidates, config))
+
+
+def _scored(spectra: DataFrame, candidates: DataFrame, config: SearchConfig) -> DataFrame:
+    return match.score_candidates(spectra.select("spec_id", "charge", "peaks"), candidates, config.tolerance_dalton, config.min_matching_peaks, config.max_n_peaks, config.max_n_fragments)
+
+
+def _best(spectra: DataFrame, scored: DataFrame) -> DataFrame:
     best = match.best_per_spectrum(scored).select("spec_id", F.col("is_decoy").alias("best_is_decoy"), F.col("distance").alias("best_distance"), F.col("score").alias("best_score"), F.col("peptide").alias("best_peptide"))
     out = spectra.join(best, "spec_id").withColumn("peptide_mass", chemistry.peptide_mass(F.col("best_peptide")))
     return out.withColumn("delta_mass", F.col("pepmass") - F.col("peptide_mass"))
 
 
+def search_best(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: embed.Embedder | None = None) -> DataFrame:
+    """As :func:`rescore` of :func:`search` has it, without ``best_distance``; the open search is left out where it cannot change the best candidate.
+
+    No score exceeds that of a candidate which matches every peak.  Where the
+    narrow search has found such a peptide, and the whole database has no other
+    one (``match.complete_candidates``), it is the best, whatever the open search
+    would add.  All other spectra are searched openly, against all rows.
+    """
+    queries, vectors, found = _narrow(spectra, db, config, embedder)
+    scored = _scored(spectra, _named(found, vectors), config).persist()
+    if config.open_search:
+        # a score grows with matches where there are more than the least, and no intensity is negative
+        whole = F.size("peaks")
+        sound = spectra.filter((whole > config.min_matching_peaks) & (whole <= config.max_n_peaks) & F.forall("peaks", lambda p: p.intensity >= 0))
+        hits = scored.select("spec_id", "n_matched").join(sound.select("spec_id", whole.alias("n")), "spec_id").filter(F.col("n_matched") == F.col("n"))
+        asked = sound.join(hits.select("spec_id").distinct(), "spec_id", "left_semi")
+        complete = match.complete_candidates(asked, vectors.select("peptide"), config.tolerance_dalton, config.max_n_fragments)
+        settled = complete.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("spec_id").alias("id"))
+        rest = queries.join(settled, "id", "left_anti").persist()
+        more = _open(rest, vectors, config).withColumn("pos", F.col("pos") + config.k)
+        scored = scored.unionByName(_scored(spectra, _named(more, vectors), config))
+    return _best(spectra, scored).drop("best_distance")
+
+
 def accept(scored: DataFrame, protein_map: DataFrame, config: SearchConfig) -> DataFrame:
     """Targets at the FDR, best first, with accessions; best_score is transformed."""
     df = fdr.within_delta(scored, config.min_delta_mass, config.max_delta_mass)

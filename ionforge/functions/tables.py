@@ -5,8 +5,8 @@
     spark.sql("select accession, c.peptide from proteins, lateral cleave(sequence, 'trypsin', 1, 7, 42) c")
 
 Their results equal those of ``operators.digest.digest`` and
-``functions.chemistry.fragment_ions``, which plan better: Catalyst sees through
-expressions and not into these.
+``functions.chemistry.fragment_ions``.  Catalyst does not see into ``cleave``,
+which is Python; ``fragments`` is a function of SQL, and planned as an expression.
 """
 
 from __future__ import annotations
@@ -48,23 +48,21 @@ class Cleave:
                     yield (peptide,)
 
 
-class Fragments:
-    """(kind, position, charge, mz) of each b and y ion of a peptide, for charges 1 .. ``charge``."""
-
-    def eval(self, peptide: str, charge: int) -> Iterator[tuple[str, int, int, float]]:
-        if not peptide or charge is None or any(c not in _MASS for c in peptide):
-            return
-        prefix = [0.0]
-        for c in peptide:
-            prefix.append(prefix[-1] + _MASS[c])
-        for i in range(1, len(prefix)):
-            for z in range(1, charge + 1):
-                yield "b", i, z, (prefix[i] + z * K.PROTON) / z
-                yield "y", i, z, (prefix[-1] - prefix[len(prefix) - 1 - i] + K.WATER + z * K.PROTON) / z
+def _fragments() -> str:
+    """(kind, position, charge, mz) of each b and y ion of a peptide, for charges 1 .. ``charge``, as a function of SQL: prefix sums once, and an array of all ions."""
+    letters, masses = "".join(_MASS), ", ".join(f"{m!r}d" for m in _MASS.values())
+    prefix = f"aggregate(filter(split(peptide, ''), c -> c != ''), array(0d), (a, c) -> array_append(a, element_at(a, -1) + try_element_at(array({masses}), nullif(instr('{letters}', c), 0))))"
+    b = f"named_struct('kind', 'b', 'position', i, 'charge', z, 'mz', (p[i] + z * {K.PROTON!r}d) / z)"
+    y = f"named_struct('kind', 'y', 'position', i, 'charge', z, 'mz', (y + z * {K.PROTON!r}d) / z)"
+    of_place = f"transform(array(element_at(p, -1) - p[size(p) - 1 - i] + {K.WATER!r}d), y -> flatten(transform(sequence(1, charge), z -> array({b}, {y}))))[0]"
+    # nothing where a residue has no mass, as sums are null from there on
+    ions = f"transform(array({prefix}), p -> if(element_at(p, -1) is not null, flatten(transform(sequence(1, size(p) - 1), i -> {of_place})), null))[0]"
+    return f"""create or replace temporary function fragments(peptide string, charge int) returns table (kind string, position int, charge int, mz double)
+        return select e.kind, e.position, e.charge, e.mz from (select inline(if(length(peptide) > 0 and charge >= 1, {ions}, null))) e"""
 
 
 def register(spark: SparkSession) -> None:
-    """Make both known to a session's SQL; rows are sent to them in Arrow batches."""
+    """Make both known to a session's SQL; rows are sent to ``cleave`` in Arrow batches, and ``fragments`` is planned with the query, as no row leaves the JVM for it."""
     workers.prepare(spark)
     spark.udtf.register("cleave", udtf(Cleave, returnType="peptide string", useArrow=True))
-    spark.udtf.register("fragments", udtf(Fragments, returnType="kind string, position int, charge int, mz double", useArrow=True))
+    spark.sql(_fragments())

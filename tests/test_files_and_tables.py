@@ -154,3 +154,17 @@ def test_permutations_are_bijections(spark, n):
 def test_stacked(spark):
     df = sample.stacked(spark.range(3), 3)
     assert sorted(map(tuple, df.collect())) == [(i, c) for i in range(3) for c in range(3)]
+
+
+def test_fragments_are_planned_without_python(spark):
+    tables.register(spark)
+    q = spark.createDataFrame([("ACmK", 2), ("AXK", 2), ("AK", None), ("AK", 0)], "peptide string, charge int")
+    got = spark.sql("select peptide, f.* from {q}, lateral fragments(peptide, charge) f", q=q)
+    assert "UDTF" not in got._jdf.queryExecution().toString()
+    prefix, want = [0.0], []
+    for c in "ACmK":
+        prefix.append(prefix[-1] + tables._MASS[c])
+    for i in range(1, 5):
+        for z in (1, 2):
+            want += [("ACmK", "b", i, z, (prefix[i] + z * tables.K.PROTON) / z), ("ACmK", "y", i, z, (prefix[-1] - prefix[4 - i] + tables.K.WATER + z * tables.K.PROTON) / z)]
+    assert [tuple(r) for r in got.collect()] == want

@@ -285,10 +285,11 @@ def _rest(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent:
 
 
 def _members(col: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of a block: nodes, components, whether each is of the main one, sizes, bands and bits."""
+    """Of a block: nodes, components, whether each is of the main one, sizes, bands and bits, the latter without a sign, as the bits of a negative number are not counted."""
     flat = col.flatten()
     plain = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "main", "size")]
-    return *plain, *(flat.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for c in ("bands", "bits"))
+    bands, bits = (flat.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for c in ("bands", "bits"))
+    return *plain, bands, bits.view(np.uint64)
 
 
 def _able(percent: int):

@@ -36,9 +36,10 @@ def prepare_spectra(spectra: DataFrame, config: SearchConfig) -> DataFrame:
     """Spectra with a mass and charge within bounds, peaks normalised and trimmed; those without m/z, charge or intensity go."""
     mass = chemistry.precursor_mass(F.col("precursorMZ"), F.col("charge"))
     df = spectra.withColumn("pepmass", mass).filter(F.col("pepmass").between(config.min_peptide_mass, config.max_peptide_mass) & F.col("charge").between(config.min_charge, config.max_charge))
-    values = peaks.normalise(F.transform("peaks", lambda p: p.intensity), config.normalization_method)
-    df = df.withColumn("peaks", peaks.trim(peaks.zip_peaks(F.transform("peaks", lambda p: p.mz), values), config.max_n_peaks))
-    return df.filter("peaks is not null").withColumn("spec_id", F.xxhash64("raw_file", "index"))
+    # a filter on null peaks would compute them once more, and so would each of their uses
+    zipped = F.transform(F.array("peaks"), lambda ps: peaks.zip_peaks(F.transform(ps, lambda p: p.mz), peaks.normalise(F.transform(ps, lambda p: p.intensity), config.normalization_method)))
+    cut = F.filter(F.transform(zipped, lambda ps: peaks.trim(ps, config.max_n_peaks)), lambda ps: ps.isNotNull())
+    return df.withColumn("peaks", F.explode(cut)).withColumn("spec_id", F.xxhash64("raw_file", "index"))
 
 
 def search(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedder: embed.Embedder | None = None) -> DataFrame:
@@ -95,23 +96,27 @@ def search_best(spectra: DataFrame, db: DataFrame, config: SearchConfig, embedde
     """As :func:`rescore` of :func:`search` has it, without ``best_distance``; the open search is left out where it cannot change the best candidate.
 
     No score exceeds that of a candidate which matches every peak.  Where the
-    narrow search has found such a peptide, and the whole database has no other
-    one (``match.complete_candidates``), it is the best, whatever the open search
-    would add.  All other spectra are searched openly, against all rows.
+    whole database has one such peptide (``match.complete_candidates``) and the
+    narrow search has found it, it is the best, whatever the open search would
+    add, and no other candidate is scored.  All other spectra are searched openly,
+    against all rows, and all their candidates are scored.
     """
     queries, vectors, found = _narrow(spectra, db, config, embedder)
-    scored = _scored(spectra, _named(found, vectors), config).persist()
-    if config.open_search:
-        # a score grows with matches where there are more than the least, and no intensity is negative
-        whole = F.size("peaks")
-        sound = spectra.filter((whole > config.min_matching_peaks) & (whole <= config.max_n_peaks) & F.forall("peaks", lambda p: p.intensity >= 0))
-        hits = scored.select("spec_id", "n_matched").join(sound.select("spec_id", whole.alias("n")), "spec_id").filter(F.col("n_matched") == F.col("n"))
-        asked = sound.join(hits.select("spec_id").distinct(), "spec_id", "left_semi")
-        complete = match.complete_candidates(asked, vectors.select("peptide"), config.tolerance_dalton, config.max_n_fragments)
-        settled = complete.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("spec_id").alias("id"))
-        rest = queries.join(settled, "id", "left_anti").persist()
-        more = _open(rest, vectors, config).withColumn("pos", F.col("pos") + config.k)
-        scored = scored.unionByName(_scored(spectra, _named(more, vectors), config))
+    if not config.open_search:
+        return _best(spectra, _scored(spectra, _named(found, vectors), config)).drop("best_distance")
+    found = found.persist()
+    # a score grows with matches where there are more than the least, no intensity is negative, and some are more than 0
+    whole = F.size("peaks")
+    sound = spectra.filter((whole > config.min_matching_peaks) & (whole <= config.max_n_peaks) & F.forall("peaks", lambda p: p.intensity >= 0) & F.exists("peaks", lambda p: p.intensity > 0))
+    complete = match.complete_candidates(sound, vectors.select("peptide"), config.tolerance_dalton, config.max_n_fragments)
+    only = complete.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"), F.first("peptide").alias("peptide")).filter("n = 1")
+    ids = (F.xxhash64("peptide", F.lit(decoy)) for decoy in (False, True))  # as _narrow has them
+    settled = found.join(only.select(F.col("spec_id").alias("query_id"), "peptide"), "query_id").filter(F.col("db_id").isin(*ids))
+    settled = settled.select(F.col("query_id").alias("spec_id"), "pos", "peptide", "distance", "is_decoy").persist()
+    rest = queries.join(settled.select(F.col("spec_id").alias("id")), "id", "left_anti").persist()
+    near = found.join(rest.select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    more = _open(rest, vectors, config).withColumn("pos", F.col("pos") + config.k)
+    scored = _scored(spectra, settled.unionByName(_named(near.unionByName(more.select(*near.columns)), vectors)), config)
     return _best(spectra, scored).drop("best_distance")
 
 
